@@ -7,6 +7,7 @@ import importlib
 #: Module and function of each query.
 LISTED = {
     "op1_token_frames": "tokens",
+    "op2_minhash_forest": "minhash",
     "op7_quality_cascade": "quality",
 }
 
