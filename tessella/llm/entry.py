@@ -8,6 +8,7 @@ import importlib
 LISTED = {
     "op1_token_frames": "tokens",
     "op2_minhash_forest": "minhash",
+    "op4_chat_segments": "chat",
     "op7_quality_cascade": "quality",
 }
 
