@@ -10,6 +10,7 @@ LISTED = {
     "op2_minhash_forest": "minhash",
     "op4_chat_segments": "chat",
     "op7_quality_cascade": "quality",
+    "op9_toxicity": "toxicity",
     "op10_main_text": "html",
 }
 
