@@ -203,7 +203,7 @@ def _candidates(reps: DataFrame, least: float) -> DataFrame:
         members.filter(f"n_{top} > {CROWD}").join(counts, mid).select("doc_id", "tree", F.when(F.col("n_mid") <= CROWD, F.col(mid)).otherwise(F.col(low)).alias("region"))
     )
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = members.join(reps.select("doc_id", "sig"), "doc_id")
+    rows = members.hint("merge").join(reps.select("doc_id", "sig"), "doc_id")
     rows = rows.select("region", "doc_id", "sig", F.expr("concat(substring(sig, 1 + tree * {0}, 10000), substring(sig, 1, tree * {0}))".format(step)).alias("turned"))
     rows = rows.repartition(parts, "region").sortWithinPartitions("region", "turned", "doc_id").select("region", "doc_id", "sig")
     found = rows.mapInArrow(_pairs(least), "a long, b long, est int, forest boolean")
@@ -212,8 +212,8 @@ def _candidates(reps: DataFrame, least: float) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("_b")), "b")
-    both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("_a")), "a")
+    left = pairs.hint("merge").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("_b")), "b")
+    both = left.hint("merge").join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("_a")), "a")
     common = F.size(F.array_intersect("_a", "_b")).cast("long")
     total = F.size("_a").cast("long") + F.size("_b")
     return both.filter(100 * common >= percent * (total - common)).select("a", "b")
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
     reps = store.written(filled.join(classes, (filled.h1 == classes.h1) & (filled.h2 == classes.h2) & (filled.doc_id == classes.rep), "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "sig"), "reps")
     found = store.written(_candidates(reps, percent / 100 - SLACK), "pairs")
     nodes = found.select(F.col("a").alias("doc_id")).union(found.select(F.col("b").alias("doc_id"))).distinct()
-    sets = store.written(docs.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(shingle), "doc_id long, set array<long>"), "sets")
+    sets = store.written(docs.join(nodes.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(shingle), "doc_id long, set array<long>"), "sets")
     first = store.written(_verified(found.filter("forest"), sets, percent), "links")
     label = components(first)
     rest = found.filter("not forest")
