@@ -9,7 +9,9 @@ LISTED = {
     "op1_token_frames": "tokens",
     "op2_minhash_forest": "minhash",
     "op4_chat_segments": "chat",
+    "op5_kd_shards": "shards",
     "op7_quality_cascade": "quality",
+    "op8_pfair_mix": "mixing",
     "op9_toxicity": "toxicity",
     "op10_main_text": "html",
 }
