@@ -35,5 +35,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    release(spark)
     return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let executors delete the shuffle files of finished jobs now: Spark does so once the driver's JVM
+    has collected what referred to them, which may otherwise come late.  Without a JVM at hand, a no-op."""
+    jvm = getattr(getattr(spark, "_sc", None), "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()

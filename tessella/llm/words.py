@@ -84,14 +84,15 @@ class Run:
         """For each word, its document (0-based in this run)."""
         return np.repeat(np.arange(len(self)), np.diff(self.bounds))
 
-    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all k-word windows at every word, and which of them lie in one document."""
+    def grams(self, k: int, factor: int = 0xD6E8FEB86659FD93) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all k-word windows at every word, and which of them lie in one document.
+        Another odd ``factor`` gives an independent hash."""
         h, n = self.hash, len(self.hash)
         m = max(0, n - k + 1)
         out = np.zeros(n, np.uint64)
         acc = np.zeros(m, np.uint64)
         for j in range(k):
-            acc = acc * _U(0xD6E8FEB86659FD93) + h[j : j + m]
+            acc = acc * _U(factor) + h[j : j + m]
         out[:m] = mix(acc)
         ends = np.repeat(self.bounds[1:], np.diff(self.bounds))
         return out, np.arange(n) + k <= ends
