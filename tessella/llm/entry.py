@@ -8,8 +8,10 @@ import importlib
 LISTED = {
     "op1_token_frames": "tokens",
     "op2_minhash_forest": "minhash",
+    "op3_simhash_leaks": "decontaminate",
     "op4_chat_segments": "chat",
     "op5_kd_shards": "shards",
+    "op6_super_kmers": "substrings",
     "op7_quality_cascade": "quality",
     "op8_pfair_mix": "mixing",
     "op9_toxicity": "toxicity",
