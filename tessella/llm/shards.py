@@ -85,19 +85,22 @@ def _cuts(points: DataFrame, nodes: list[dict], dims: int) -> None:
         open_nodes = again
 
 
-def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int = 256 << 20, dimensions: dict[str, Column] | None = None, order: str | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot.  Slots follow ``order`` (a long column of ``docs``) or else a hash of the id."""
+def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int = 256 << 20, dimensions: dict[str, Column] | None = None, order: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, ``keep`` (other columns of ``docs``), shard, slot.
+
+    Slots follow ``order`` (a long column of ``docs``) or else a hash of the id."""
     spark = docs.sparkSession
     dimensions = dimensions or default_dimensions()
-    points = store.written(_points(docs, dimensions, [order] if order else []), "points")
+    used = [order] if order else []
+    points = store.written(_points(docs, dimensions, used), "points")
     if shards is None:
         total = points.agg(F.sum("size")).first()[0] or 0
         shards = max(1, -(-total // target_bytes))
-    placed = points.withColumns({"node": F.lit(0), "shard": F.lit(0)})
     nodes = [{"node": 0, "k": shards, "left": shards // 2, "first": 0}] if shards > 1 else []
+    levels: list[list[tuple]] = []
     made = 0
     while nodes:
-        _cuts(placed, nodes, len(dimensions))
+        _cuts(_place(points, levels, len(dimensions)), nodes, len(dimensions))
         rows, below = [], []
         for n in nodes:
             ids = []
@@ -109,26 +112,41 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int = 25
                 else:
                     ids.append(-1)
             rows.append((n["node"], n["dim"], n["cut"], *ids, n["first"], n["first"] + n["left"]))
-        at = placed.join(_table(spark, rows, "node int, _dim int, _cut long, _l int, _r int, _sl int, _sr int"), "node", "left")
-        key = F.coalesce(*[F.when(F.col("_dim") == i, F.col(f"k{i}")) for i in range(len(dimensions))])
-        left = key < F.col("_cut")
-        placed = at.withColumns({"shard": F.when(F.col("_dim").isNull(), F.col("shard")).when(left, F.col("_sl")).otherwise(F.col("_sr")), "node": F.when(F.col("_dim").isNull(), F.lit(-1)).when(left, F.col("_l")).otherwise(F.col("_r"))}).select(*placed.columns)
+        levels.append(rows)
         nodes = below
-    return _slots(store.written(placed.select("doc_id", "size", "text_crc32", "shard", F.col(order).alias("_at") if order else F.xxhash64("doc_id").alias("_at")), "placed"))
+    at = F.col(order) if order else F.xxhash64("doc_id")
+    placed = lambda rows: _place(rows, levels, len(dimensions)).withColumn("_at", at)
+    narrow = store.written(placed(points).select("doc_id", "size", "text_crc32", "shard", "_at"), "placed")
+    # Kept columns come from the documents anew, placed by the same cuts: they are shuffled once, for their slots.
+    wide = placed(_points(docs, dimensions, [*used, *keep])).select("doc_id", "size", "text_crc32", *keep, "shard", "_at") if keep else narrow
+    return _slots(narrow, wide)
+
+
+def _place(points: DataFrame, levels: list[list[tuple]], dims: int) -> DataFrame:
+    """Adds ``node`` (-1: a leaf) and ``shard`` by the cuts of all levels."""
+    placed = points.withColumns({"node": F.lit(0), "shard": F.lit(0)})
+    for rows in levels:
+        at = placed.join(_table(points.sparkSession, rows, "node int, _dim int, _cut long, _l int, _r int, _sl int, _sr int"), "node", "left")
+        key = F.coalesce(*[F.when(F.col("_dim") == i, F.col(f"k{i}")) for i in range(dims)])
+        left, leaf = key < F.col("_cut"), F.col("_dim").isNull()
+        shard = F.when(leaf, F.col("shard")).when(left, F.col("_sl")).otherwise(F.col("_sr"))
+        node = F.when(leaf, F.lit(-1)).when(left, F.col("_l")).otherwise(F.col("_r"))
+        placed = at.withColumns({"shard": shard, "node": node}).select(*placed.columns)
+    return placed
 
 
-def _slots(rows: DataFrame) -> DataFrame:
+def _slots(rows: DataFrame, wide: DataFrame) -> DataFrame:
     """Gapless slots: ranks inside (shard, range of the order), after the sizes of the ranges before."""
     from pyspark.sql import Window as W
 
     span = rows.agg(F.min("_at").cast("decimal(38,0)").alias("lo"), F.max("_at").cast("decimal(38,0)").alias("hi")).first()
     lo, width = (int(span.lo), (int(span.hi) - int(span.lo)) // SLOT_BUCKETS + 1) if span.lo is not None else (0, 1)
-    rows = rows.withColumn("_part", F.coalesce(((F.col("_at").cast("decimal(38,0)") - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(-1)))
-    sizes = rows.groupBy("shard", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    part = F.coalesce(((F.col("_at").cast("decimal(38,0)") - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(-1))
+    sizes = rows.withColumn("_part", part).groupBy("shard", "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("shard", "_part", (F.sum("_n").over(W.partitionBy("shard").orderBy("_part")) - F.col("_n")).alias("_before"))
-    ranked = rows.withColumn("_rank", F.row_number().over(W.partitionBy("shard", "_part").orderBy("_at", "doc_id")))
+    ranked = wide.withColumn("_part", part).withColumn("_rank", F.row_number().over(W.partitionBy("shard", "_part").orderBy("_at", "doc_id")))
     # One row per shard and range: bounded by shards * SLOT_BUCKETS.
-    return ranked.join(F.broadcast(before), ["shard", "_part"]).select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("_before") + F.col("_rank") - 1).cast("int").alias("slot"))
+    return ranked.join(F.broadcast(before), ["shard", "_part"]).select(*[c for c in wide.columns if c not in ("shard", "_at")], F.col("shard").cast("int").alias("shard"), (F.col("_before") + F.col("_rank") - 1).cast("int").alias("slot"))
 
 
 def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
