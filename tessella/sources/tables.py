@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,7 +92,6 @@ def read_points(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def embed(df: DataFrame, text: str, embedder: Callable[[list[str]], list[list[float]]], into: str = "embedding") -> DataFrame:
     """Adds vectors from a pluggable embedder, batch by batch."""
-    import pandas as pd
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(texts: pd.Series) -> pd.Series:
