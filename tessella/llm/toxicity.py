@@ -30,9 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TRAIN_ROWS, MAX_TERMS, MEMO_WORDS = 20_000, 4_000, 500_000
+from tessella.llm import store
+
+TRAIN_ROWS, MAX_TERMS, MEMO_WORDS = 8_000, 4_000, 500_000
+HELD_TERMS = 300_000
 STEMS = (4, 5, 6, 7)
 CUT, QUOTED, WINDOW = 0.3, 0.35, 6
+_run = re.compile(r"(.)\1{2,}")
 _word = re.compile(r"[^\W_]+(?:[@$!][^\W_]+)*")
 # Signs that stand for letters, quotation marks, words of reporting.
 LEET = str.maketrans("013457@$!", "oieastasi")
@@ -46,6 +50,10 @@ def tokens(text: str) -> list[str]:
     return [w if w.isalpha() else (w.translate(LEET) if any(c.isalpha() for c in w) else w) for w in found]
 
 
+def edits(word: str) -> int:
+    return 2 if len(word) >= 10 else 1
+
+
 class Trie:
     """Lexicon words as nested dictionaries; the key "" ends a word."""
 
@@ -102,11 +110,16 @@ class Model:
     weights: tuple = (0.0,) * 5
     fitted: bool = False
     trie: Trie | None = field(default=None, repr=False)
+    near: dict = field(default_factory=dict, repr=False)
 
     def prepared(self) -> Model:
         """Misspellings are sought of words that stand alone: others, alike in their first letters, are forms of a family."""
         alike = Counter(w[:4] for w in self.words)
-        self.trie = Trie(w for w in self.words if len(w) >= 5 and alike[w[:4]] < 3)
+        alone = [w for w in self.words if len(w) >= 5 and alike[w[:4]] < 3]
+        self.trie = Trie(alone)
+        self.near = {}
+        for w in alone:
+            self.near.setdefault(w[0], set()).update(range(len(w) - edits(w), len(w) + edits(w) + 1))
         return self
 
 
@@ -118,10 +131,13 @@ class Scorer:
         m = self.m
         if w in m.words or any(w[:k] in m.stems for k in STEMS if len(w) >= k):
             return 1.0
-        if 4 <= len(w) <= 24 and w not in m.benign and w[0] in m.trie.root:
-            squeezed = re.sub(r"(.)\1{2,}", r"\1", w)
-            if squeezed in m.words or Levenshtein(w, 2 if len(w) >= 10 else 1).accepted(m.trie):
-                return 0.7
+        if w in m.benign:
+            return 0.0
+        if _run.search(w) and _run.sub(r"\1", w) in m.words:
+            return 0.7
+        # Lengths that no term of this first letter can reach need no automaton.
+        if len(w) >= 4 and len(w) in m.near.get(w[0], ()) and Levenshtein(w, edits(w)).accepted(m.trie):
+            return 0.7
         return 0.0
 
     def hits(self, words: list[str]) -> list[tuple[int, float]]:
@@ -181,16 +197,24 @@ class Scorer:
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per training document and distinct term: (kind, term, toxic)."""
+    """(kind, term, toxic, n): documents of each label that have the term, summed over the task's batches
+    as far as ``HELD_TERMS`` entries allow."""
+    held: Counter = Counter()
+
+    def made() -> pa.RecordBatch:
+        keys = list(held)
+        columns = list(zip(*keys, strict=True)) or [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((*columns, tuple(held.values())), (pa.string(), pa.string(), pa.int32(), pa.int32()), strict=True)], ["kind", "term", "toxic", "n"])
+
     for batch in batches:
-        kinds, terms, labels = [], [], []
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = {w for w in tokens(text or "") if 3 <= len(w) <= 40}
-            stems = {w[:k] for w in words for k in STEMS if len(w) > k}
-            kinds += ["w"] * len(words) + ["s"] * len(stems)
-            terms += [*words, *stems]
-            labels += [toxic] * (len(words) + len(stems))
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(terms, pa.string()), pa.array(labels, pa.int32())], ["kind", "term", "toxic"])
+            words = {w for w in set(tokens(text or "")) if 3 <= len(w) <= 40}
+            held.update(("w", w, toxic) for w in words)
+            held.update({("s", w[:k], toxic) for w in words for k in STEMS if len(w) > k})
+            if len(held) > HELD_TERMS:
+                yield made()
+                held.clear()
+    yield made()
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -206,13 +230,14 @@ def held_out():
 
 def fit(train: DataFrame) -> Model:
     """Lexicon, benign variants and logistic model from ``train(text, toxic)``."""
+    train = store.written(train, "train")
     n = train.groupBy().agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
     total, toxic = n["n"], n["t"] or 0
     if not toxic or toxic == total:
         return Model()
     base = toxic / total
-    counted = train.mapInArrow(_terms, "kind string, term string, toxic int").groupBy("kind", "term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
-    counted = counted.withColumn("n", F.col("t") + F.col("o"))
+    counted = train.mapInArrow(_terms, "kind string, term string, toxic int, n int").groupBy("kind", "term").agg(F.sum(F.col("toxic") * F.col("n")).alias("t"), F.sum((1 - F.col("toxic")) * F.col("n")).alias("o"))
+    counted = store.written(counted, "terms").withColumn("n", F.col("t") + F.col("o"))
     ln = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (F.col("n") * p))).otherwise(0.0)
     found = counted.filter(f"t >= 3 and t >= 0.85 * n and n < {0.5 * total}").withColumn("gain", ln("t", base) + ln("o", 1 - base)).filter("gain >= 14")
     kept = found.orderBy(F.desc("gain"), "kind", "term").limit(MAX_TERMS).collect()
