@@ -161,14 +161,16 @@ def _single(window: int):
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(rid, spans): of ``docs(rid, text)``, word ranges [lo, hi) covered by windows that start anywhere else too."""
     kmers = store.written(docs.select("rid", "text").mapInArrow(_list(window, gram), "key long, rid long, first int, n int"), "kmers")
-    again = kmers.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    # Written, so that the join has a plain exchange on both sides, whose hot keys can be split.
+    again = store.written(kmers.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "again")
     found = kmers.join(again.hint("merge"), "key").groupBy("rid").agg(F.collect_set(F.struct("first", "n", "key")).alias("spans"))
     found = store.written(found, "candidates")
     packed = docs.select("rid", "text").join(found.hint("merge"), "rid").select("rid", "text", F.col("spans").cast(SPANS))
     packed = packed.mapInArrow(_pack(window), "key long, rid long, first int, n int, packed binary")
     places = store.written(packed.withColumn("h", F.xxhash64("packed")), "places")
+    store.discard(kmers, again, found)
     strings = store.written(places.groupBy("key", "h", "n", "packed").agg(F.count(F.lit(1)).alias("c")), "strings")
-    sizes = strings.groupBy("key").agg(F.count(F.lit(1)).alias("d")).filter("d > 1")
+    sizes = store.written(strings.groupBy("key").agg(F.count(F.lit(1)).alias("d")).filter("d > 1"), "sizes")
     met = strings.select("key", "h", "packed").join(sizes.hint("merge"), "key")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cold = met.filter(f"d <= {hot}").select("key", "h", "packed").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_bucket(window), "key long, h long, lo int")
@@ -176,10 +178,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     shared = single.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a", "b")
     flagged = cold.union(single.join(shared, ["a", "b"]).select("key", "h", "lo")).withColumn("hi", F.col("lo") + 1)
     flagged = flagged.union(strings.filter("c > 1").select("key", "h", F.lit(0).alias("lo"), F.col("n").alias("hi")))
-    flagged = flagged.groupBy("key", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("windows"))
+    flagged = store.written(flagged.groupBy("key", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("windows")), "flagged")
     back = places.select("key", "h", "rid", "first").join(flagged.hint("merge"), ["key", "h"])
     spans = back.select("rid", F.explode(F.expr(f"transform(windows, w -> struct(first + w.lo as lo, first + w.hi + {window - 1} as hi))")).alias("s"))
-    return store.written(spans.groupBy("rid").agg(F.collect_set("s").alias("spans")), "spans")
+    out = store.written(spans.groupBy("rid").agg(F.collect_set("s").alias("spans")), "spans")
+    store.discard(places, strings, sizes, single, flagged)
+    return out
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
