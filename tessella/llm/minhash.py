@@ -207,7 +207,9 @@ def _candidates(reps: DataFrame, least: float) -> DataFrame:
     rows = rows.select("region", "doc_id", "sig", F.expr("concat(substring(sig, 1 + tree * {0}, 10000), substring(sig, 1, tree * {0}))".format(step)).alias("turned"))
     rows = rows.repartition(parts, "region").sortWithinPartitions("region", "turned", "doc_id").select("region", "doc_id", "sig")
     found = rows.mapInArrow(_pairs(least), "a long, b long, est int, forest boolean")
-    return found.groupBy("a", "b").agg(F.max("est").alias("est"), F.max("forest").alias("forest"))
+    out = store.written(found.groupBy("a", "b").agg(F.max("est").alias("est"), F.max("forest").alias("forest")), "pairs")
+    store.discard(trees)
+    return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -226,7 +228,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
     filled = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     reps = store.written(filled.join(classes, (filled.h1 == classes.h1) & (filled.h2 == classes.h2) & (filled.doc_id == classes.rep), "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "sig"), "reps")
-    found = store.written(_candidates(reps, percent / 100 - SLACK), "pairs")
+    found = _candidates(reps, percent / 100 - SLACK)
+    store.discard(reps)
     nodes = found.select(F.col("a").alias("doc_id")).union(found.select(F.col("b").alias("doc_id"))).distinct()
     sets = store.written(docs.join(nodes.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(shingle), "doc_id long, set array<long>"), "sets")
     first = store.written(_verified(found.filter("forest"), sets, percent), "links")
@@ -236,6 +239,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
         rest = rest.join(label.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
     second = store.written(_verified(rest.filter("ca <> cb").select("a", "b"), sets, percent), "links")
     links = first.union(second)
+    store.discard(sets)
     label = store.written(components(links), "components")
     degree = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     known = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
