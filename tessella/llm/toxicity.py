@@ -34,6 +34,8 @@ from tessella.llm import store
 
 TRAIN_ROWS, MAX_TERMS, MEMO_WORDS = 8_000, 4_000, 500_000
 HELD_TERMS = 300_000
+#: Misspellings are sought of words that at least this share of the toxic training documents have.
+SPELT_SHARE = 0.02
 STEMS = (4, 5, 6, 7)
 CUT, QUOTED, WINDOW = 0.3, 0.35, 6
 _run = re.compile(r"(.)\1{2,}")
@@ -45,9 +47,13 @@ REPORTING = frozenset("said says wrote quoted quote called quotes writes term wo
 
 
 def tokens(text: str) -> list[str]:
-    """Lower-case words; a word that mixes letters with letter-like signs is folded."""
-    found = _word.findall(text.lower())
-    return [w if w.isalpha() else (w.translate(LEET) if any(c.isalpha() for c in w) else w) for w in found]
+    """Lower-case words."""
+    return _word.findall(text.lower())
+
+
+def fold(word: str) -> str:
+    """A word that mixes letters with letter-like signs, in letters."""
+    return word if word.isalpha() or not any(c.isalpha() for c in word) else word.translate(LEET)
 
 
 def edits(word: str) -> int:
@@ -105,6 +111,8 @@ class Model:
     words: frozenset = frozenset()
     stems: frozenset = frozenset()
     benign: frozenset = frozenset()
+    #: Words whose misspellings are sought; None: all.
+    spelt: frozenset | None = None
     mean: tuple = (0.0,) * 4
     scale: tuple = (1.0,) * 4
     weights: tuple = (0.0,) * 5
@@ -115,7 +123,7 @@ class Model:
     def prepared(self) -> Model:
         """Misspellings are sought of words that stand alone: others, alike in their first letters, are forms of a family."""
         alike = Counter(w[:4] for w in self.words)
-        alone = [w for w in self.words if len(w) >= 5 and alike[w[:4]] < 3]
+        alone = [w for w in (self.words if self.spelt is None else self.spelt) if len(w) >= 5 and alike[w[:4]] < 3]
         self.trie = Trie(alone)
         self.near = {}
         for w in alone:
@@ -125,11 +133,14 @@ class Model:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.m, self.memo = model.prepared(), {}
+        self.m = model.prepared()
+        #: Words weighed so far, and those of them that hit, with their weights.
+        self.seen: set[str] = set()
+        self.hot: dict[str, float] = {}
 
     def _weigh(self, w: str) -> float:
         m = self.m
-        if w in m.words or any(w[:k] in m.stems for k in STEMS if len(w) >= k):
+        if w in m.words or (m.stems and any([w[:k] in m.stems for k in STEMS])):
             return 1.0
         if w in m.benign:
             return 0.0
@@ -141,14 +152,16 @@ class Scorer:
         return 0.0
 
     def hits(self, words: list[str]) -> list[tuple[int, float]]:
-        memo = self.memo
-        fresh = {w for w in words if w not in memo}
-        if len(memo) + len(fresh) > MEMO_WORDS:
-            memo.clear()
-            fresh = set(words)
+        distinct = set(words)
+        fresh = distinct - self.seen
+        if len(self.seen) + len(fresh) > MEMO_WORDS:
+            self.seen, self.hot, fresh = set(), {}, distinct
         for w in fresh:
-            memo[w] = self._weigh(w)
-        return [(i, memo[w]) for i, w in enumerate(words) if memo[w]]
+            if weight := self._weigh(fold(w)):
+                self.hot[w] = weight
+        self.seen |= fresh
+        hot = self.hot
+        return [] if hot.keys().isdisjoint(distinct) else [(i, hot[w]) for i, w in enumerate(words) if w in hot]
 
     def features(self, text: str) -> tuple[float, float, float, float]:
         """Weighted hits, hits per hundred words, most in one window, share in quotation."""
@@ -208,7 +221,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = {w for w in set(tokens(text or "")) if 3 <= len(w) <= 40}
+            words = {fold(w) for w in set(tokens(text or "")) if 3 <= len(w) <= 40}
             held.update(("w", w, toxic) for w in words)
             held.update({("s", w[:k], toxic) for w in words for k in STEMS if len(w) > k})
             if len(held) > HELD_TERMS:
@@ -249,8 +262,9 @@ def fit(train: DataFrame) -> Model:
     # It stays for its shortest form, and the words it covers need no entry.
     stems = {s for s in stems if not any(s[:k] in stems for k in STEMS if k < len(s))}
     model = Model(words=frozenset(w for w in words if not any(w[:k] in stems for k in STEMS if len(w) > k)), stems=frozenset(stems))
+    model.spelt = model.words & {r.term for r in kept if r.kind == "w" and r.t >= SPELT_SHARE * toxic}
     spoken = counted.filter("kind = 'w' and o > t")
-    model.benign = frozenset(r.term for r in spoken.mapInArrow(_neighbours(model), "term string").limit(100 * MAX_TERMS).collect())
+    model.benign = frozenset(r.term for r in spoken.mapInArrow(_neighbours(model), "term string").collect())
     rows = np.array([tuple(r) for r in train.mapInArrow(_features(model), "a double, b double, c double, d double, y int").collect()])
     x, y = rows[:, :4], rows[:, 4]
     mean, scale = x.mean(0), x.std(0) + 1e-9
