@@ -38,6 +38,7 @@ MEMO_ENTRIES = 250_000
 #: The pre-tokenizer pattern of byte-level BPE vocabularies, and their byte alphabet
 #: (printable bytes stand for themselves, the others follow from U+0100 on).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+MARKS = tuple(",.;:!?")
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 MANIFEST = "file string, n_docs long, n_tokens long, first_doc long"
 
@@ -85,6 +86,7 @@ class Encoder:
         self.by_word = self.tokenizer.normalizer is None and kind.startswith("ByteLevel(") and "add_prefix_space=False" in kind and "use_regex=True" in kind
         self.find = regex.compile(PATTERN).findall
         self.table = {b: c for b, c in enumerate(_alphabet())}
+        self.split = self.tokenizer.model.tokenize
         self.words, self.pieces = Memo(), Memo()
 
     def whole(self, text: str) -> bytes:
@@ -94,11 +96,17 @@ class Encoder:
         got = self.pieces.young.get(piece) or self.pieces.again(piece)
         if got is None:
             letters = piece.encode().decode("latin-1").translate(self.table)
-            got = self.pieces.put(piece, struct.pack(f"<{len(t)}I", *[x.id for x in t]) if (t := self.tokenizer.model.tokenize(letters)) else b"")
+            t = self.split(letters)
+            got = self.pieces.put(piece, struct.pack(f"<{len(t)}I", *[x.id for x in t]))
         return got
 
     def _word(self, word: str, lead: str) -> bytes | None:
-        """Ids of ``lead + word``; None where the word may not stand alone."""
+        """Ids of ``lead + word``; None where the word may not stand alone.  Letters alone are one
+        piece, and so is a mark after them; for other words the pattern finds the pieces."""
+        body = word[:-1] if word[-1:] in MARKS else word
+        if body.isalpha() and max(body) < "\u0250":
+            ids = self._piece(lead + body)
+            return ids if body is word else ids + self._piece(word[-1])
         if not word or word >= "\u3000" or max(word) >= "\u3000" or not (word.isprintable() or all(x and x.isprintable() for x in word.split("\n"))):
             return None
         return b"".join([self._piece(p) for p in self.find(lead + word)])
