@@ -42,13 +42,15 @@ def _points(docs: DataFrame, dimensions: dict[str, Column], keep: list[str]) ->
     return sized.select("doc_id", "size", "text_crc32", *keep, *[c.alias(k) for k, c in keys.items()])
 
 
-def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(rows, schema))  # at most a row per node, so per shard
+def _of(nodes: list[dict], name: str) -> Column:
+    """The value ``name`` of a row's node, out of a constant array over a level's nodes (consecutive
+    numbers); null for rows in other nodes and for nodes without it.  No join: the plan's rows stay those of the table."""
+    values = ", ".join("null" if n.get(name) is None else f"{n[name]}L" for n in nodes)
+    return F.expr(f"get(cast(array({values}) as array<bigint>), cast(node as int) - {nodes[0]['node']})")
 
 
 def _cuts(points: DataFrame, nodes: list[dict], dims: int) -> None:
     """Sets ``dim`` and ``cut`` (first key on the right) of every node; ``points`` has ``node``."""
-    spark = points.sparkSession
     ranges = points.groupBy("node").agg(F.sum("size").alias("w"), *[f(f"k{i}").alias(f"{n}{i}") for i in range(dims) for n, f in (("lo", F.min), ("hi", F.max))])
     found = {r["node"]: r for r in ranges.collect()}
     open_nodes = []
@@ -61,8 +63,9 @@ def _cuts(points: DataFrame, nodes: list[dict], dims: int) -> None:
         n |= {"lo": r[f"lo{n['dim']}"], "hi": r[f"hi{n['dim']}"], "before": 0, "goal": r["w"] * n["left"] / n["k"], "slack": TOLERANCE * r["w"] / n["k"]}
         open_nodes.append(n)
     while open_nodes:
-        rows = [(n["node"], n["dim"], n["lo"], n["hi"], (n["hi"] - n["lo"]) // BINS + 1) for n in open_nodes]
-        at = points.join(_table(spark, rows, "node int, _dim int, _lo long, _hi long, _width long"), "node")
+        active = {n["node"] for n in open_nodes}
+        told = [{"node": n["node"]} | ({"dim": n["dim"], "lo": n["lo"], "hi": n["hi"], "width": (n["hi"] - n["lo"]) // BINS + 1} if n["node"] in active else {}) for n in nodes]
+        at = points.withColumns({f"_{c}": _of(told, c) for c in ("dim", "lo", "hi", "width")}).filter("_dim is not null")
         key = F.coalesce(*[F.when(F.col("_dim") == i, F.col(f"k{i}")) for i in range(dims)])
         at = at.withColumn("_key", key).filter("_key between _lo and _hi").withColumn("bin", F.expr("(_key - _lo) div _width"))
         bins: dict[int, list] = {}
@@ -89,7 +92,6 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int = 25
     """doc_id, size, text_crc32, ``keep`` (other columns of ``docs``), shard, slot.
 
     Slots follow ``order`` (a long column of ``docs``) or else a hash of the id."""
-    spark = docs.sparkSession
     dimensions = dimensions or default_dimensions()
     used = [order] if order else []
     points = store.written(_points(docs, dimensions, used), "points")
@@ -97,11 +99,11 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int = 25
         total = points.agg(F.sum("size")).first()[0] or 0
         shards = max(1, -(-total // target_bytes))
     nodes = [{"node": 0, "k": shards, "left": shards // 2, "first": 0}] if shards > 1 else []
-    levels: list[list[tuple]] = []
+    cuts: dict[int, dict] = {}
     made = 0
     while nodes:
-        _cuts(_place(points, levels, len(dimensions)), nodes, len(dimensions))
-        rows, below = [], []
+        _cuts(_place(points, cuts), nodes, len(dimensions))
+        below = []
         for n in nodes:
             ids = []
             for k, first in ((n["left"], n["first"]), (n["k"] - n["left"], n["first"] + n["left"])):
@@ -111,28 +113,26 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int = 25
                     ids.append(made)
                 else:
                     ids.append(-1)
-            rows.append((n["node"], n["dim"], n["cut"], *ids, n["first"], n["first"] + n["left"]))
-        levels.append(rows)
+            cuts[n["node"]] = {"dim": n["dim"], "cut": n["cut"], "l": ids[0], "r": ids[1], "sl": n["first"], "sr": n["first"] + n["left"]}
         nodes = below
     at = F.col(order) if order else F.xxhash64("doc_id")
-    placed = lambda rows: _place(rows, levels, len(dimensions)).withColumn("_at", at)
+    placed = lambda rows: _place(rows, cuts).withColumn("_at", at)
     narrow = store.written(placed(points).select("doc_id", "size", "text_crc32", "shard", "_at"), "placed")
     # Kept columns come from the documents anew, placed by the same cuts: they are shuffled once, for their slots.
     wide = placed(_points(docs, dimensions, [*used, *keep])).select("doc_id", "size", "text_crc32", *keep, "shard", "_at") if keep else narrow
     return _slots(narrow, wide)
 
 
-def _place(points: DataFrame, levels: list[list[tuple]], dims: int) -> DataFrame:
-    """Adds ``node`` (-1: a leaf) and ``shard`` by the cuts of all levels."""
-    placed = points.withColumns({"node": F.lit(0), "shard": F.lit(0)})
-    for rows in levels:
-        at = placed.join(_table(points.sparkSession, rows, "node int, _dim int, _cut long, _l int, _r int, _sl int, _sr int"), "node", "left")
-        key = F.coalesce(*[F.when(F.col("_dim") == i, F.col(f"k{i}")) for i in range(dims)])
-        left, leaf = key < F.col("_cut"), F.col("_dim").isNull()
-        shard = F.when(leaf, F.col("shard")).when(left, F.col("_sl")).otherwise(F.col("_sr"))
-        node = F.when(leaf, F.lit(-1)).when(left, F.col("_l")).otherwise(F.col("_r"))
-        placed = at.withColumns({"shard": shard, "node": node}).select(*placed.columns)
-    return placed
+def _place(points: DataFrame, cuts: dict[int, dict]) -> DataFrame:
+    """Adds ``node`` (-1: a leaf) and ``shard``: one nested CASE over the tree, a branch per cut."""
+
+    def at(node: int, shard: int, of_shard: bool) -> Column:
+        c = cuts.get(node)
+        if c is None:
+            return F.lit(shard if of_shard else node)
+        return F.when(F.col(f"k{c['dim']}") < c["cut"], at(c["l"], c["sl"], of_shard)).otherwise(at(c["r"], c["sr"], of_shard))
+
+    return points.withColumns({"node": at(0, 0, False), "shard": at(0, 0, True)})
 
 
 def _slots(rows: DataFrame, wide: DataFrame) -> DataFrame:
