@@ -10,6 +10,9 @@
    partners, the partners adjacent in sorted order (longest common prefix) and the region's most central member.
 4. Candidates are verified on the full sets, first a spanning forest of the likeliest ones, then every
    other candidate that would still join two components.  Links are the verified pairs; components follow.
+5. What step 3 leaves out of a crowded region is made up for: the whole regions of depth ``DEPTH`` are compared
+   again, block against block in separate tasks, and every pair that may reach the threshold and whose ends
+   still lie in different components is verified too.  Blocks of one and the same component are passed over.
 
 Only representatives in regions of two or more carry signatures, only documents in a candidate
 carry sets, and no step gathers a class, a component or the fingerprints of all documents in one place.
@@ -36,6 +39,7 @@ from tessella.llm.components import components
 HASHES, TREES, DEPTH = 128, 16, 4
 DEEPER = (12, 32)
 CROWD, SMALL, NEAREST = 4096, 64, 16
+BLOCK = 1024
 SLACK = 0.11
 _MULT = np.random.default_rng(5).integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig binary"
@@ -185,8 +189,8 @@ def _pairs(least: float):
     return run
 
 
-def _candidates(reps: DataFrame, least: float) -> DataFrame:
-    """(a, b, est, forest), a < b, distinct, of ``reps(doc_id, sig)``."""
+def _candidates(reps: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b, est, forest), a < b, distinct, of ``reps(doc_id, sig)``; and (region, doc_id, tree) of the regions that these don't cover."""
     step = 4 * HASHES // TREES
     rotated = "concat(substring(sig, {0}, 10000), substring(sig, 1, {0} - 1))"
     trees = reps.select("doc_id", F.explode(F.array(*[
@@ -208,10 +212,71 @@ def _candidates(reps: DataFrame, least: float) -> DataFrame:
     rows = rows.repartition(parts, "region").sortWithinPartitions("region", "turned", "doc_id").select("region", "doc_id", "sig")
     found = rows.mapInArrow(_pairs(least), "a long, b long, est int, forest boolean")
     out = store.written(found.groupBy("a", "b").agg(F.max("est").alias("est"), F.max("forest").alias("forest")), "pairs")
+    whole = store.written(trees.join(size(top).filter(f"n_{top} > {CROWD}"), top).select(F.col(top).alias("region"), "doc_id", "tree"), "whole")
     store.discard(trees)
+    return out, whole
+
+
+def _across(least: float):
+    """Over rows (pair, side, doc_id, component, tree, sig) sorted by pair and side: pairs of both sides that cross components."""
+
+    def compared(sides: tuple[list, list]) -> Iterator[pa.RecordBatch]:
+        if not sides[0] or not sides[1]:
+            return
+        ids, comps, sigs = zip(*((np.array([r[0] for r in x], np.int64), np.array([r[1] for r in x], np.int64), np.stack([np.frombuffer(r[2], np.uint32) for r in x])) for x in sides), strict=True)
+        for lo in range(0, len(ids[0]), BLOCK):
+            for at in range(0, len(ids[1]), BLOCK):
+                u, v = slice(lo, lo + BLOCK), slice(at, at + BLOCK)
+                est = np.zeros((len(ids[0][u]), len(ids[1][v])), np.uint8)
+                for j in range(HASHES):
+                    est += sigs[0][u, None, j] == sigs[1][None, v, j]
+                i, j = np.nonzero((est >= int(least * HASHES)) & (comps[0][u, None] != comps[1][None, v]))
+                a, b = ids[0][u][i], ids[1][v][j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, sides = None, ([], [])
+        for batch in batches:
+            for p, side, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if p != pair:
+                    yield from compared(sides)
+                    pair, sides = p, ([], [])
+                sides[side].append(row)
+        yield from compared(sides)
+
+    return run
+
+
+def _crossing(whole: DataFrame, sigs: DataFrame, label: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b, distinct: all pairs of the regions ``whole`` that may reach the threshold and cross components.
+
+    A component with more than ``BLOCK`` members in a region has blocks of its own; the others are dealt
+    over mixed blocks, each as a whole.  A region of one component has no row."""
+    rows = whole.join(label.select(F.col("node").alias("doc_id"), "component").hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    sizes = rows.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
+    several = sizes.groupBy("region").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n_components")).filter("n_components > 1")
+    sizes = sizes.join(several.hint("merge"), "region")
+    rows = rows.join(sizes.hint("merge"), ["region", "component"])
+    own = F.col("n") > BLOCK
+    part = F.when(own, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK))).otherwise(F.pmod(F.xxhash64("component"), F.ceil(F.col("total") / BLOCK)))
+    rows = rows.select("region", "doc_id", "tree", "component", F.when(own, F.col("component")).alias("only"), F.concat_ws(":", F.when(own, F.col("component").cast("string")), part.cast("string")).alias("block"))
+    dealt = store.written(rows, "blocks")
+    blocks = dealt.select("region", "block", "only").distinct()
+    other = blocks.select("region", F.col("block").alias("block2"), F.col("only").alias("only2"))
+    pairs = blocks.hint("merge").join(other, "region").filter("block <= block2 and not coalesce(only = only2, false)")
+    pairs = pairs.select("region", F.concat_ws(" ", "region", "block", "block2").alias("pair"), F.posexplode(F.array("block", "block2")).alias("side", "block"))
+    parts = int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = dealt.drop("only").hint("merge").join(pairs, ["region", "block"]).hint("merge").join(sigs, "doc_id").select("pair", "side", "doc_id", "component", "sig", "tree")
+    found = rows.repartition(parts, "pair").sortWithinPartitions("pair", "side", "doc_id").mapInArrow(_across(least), "a long, b long")
+    out = store.written(found.distinct(), "pairs")
+    store.discard(dealt)
     return out
 
 
+def _sets_of(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    return store.written(docs.join(nodes.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(shingle), "doc_id long, set array<long>"), "sets")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     left = pairs.hint("merge").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("_b")), "b")
@@ -228,10 +293,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
     filled = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     reps = store.written(filled.join(classes, (filled.h1 == classes.h1) & (filled.h2 == classes.h2) & (filled.doc_id == classes.rep), "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "sig"), "reps")
-    found = _candidates(reps, percent / 100 - SLACK)
+    least = percent / 100 - SLACK
+    found, whole = _candidates(reps, least)
+    sigs = store.written(reps.hint("merge").join(whole.select("doc_id").distinct(), "doc_id", "left_semi"), "sigs")
     store.discard(reps)
     nodes = found.select(F.col("a").alias("doc_id")).union(found.select(F.col("b").alias("doc_id"))).distinct()
-    sets = store.written(docs.join(nodes.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(shingle), "doc_id long, set array<long>"), "sets")
+    sets = _sets_of(docs, nodes, shingle)
     first = store.written(_verified(found.filter("forest"), sets, percent), "links")
     label = components(first)
     rest = found.filter("not forest")
@@ -241,6 +308,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
     links = first.union(second)
     store.discard(sets)
     label = store.written(components(links), "components")
+    # All candidates that cross these components are verified and failed.
+    across = store.written(_crossing(whole, sigs, label, least).hint("merge").join(found.select("a", "b"), ["a", "b"], "left_anti"), "across")
+    store.discard(whole, sigs)
+    if not across.isEmpty():
+        sets = _sets_of(docs, across.select(F.col("a").alias("doc_id")).union(across.select(F.col("b").alias("doc_id"))).distinct(), shingle)
+        links = links.union(store.written(_verified(across, sets, percent), "links"))
+        store.discard(sets, label)
+        label = store.written(components(links), "components")
     degree = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     known = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     known = known.select("h1", "h2", F.coalesce("component", "rep").alias("_c"), F.coalesce("n_links", F.lit(0)).alias("_l"))

@@ -50,6 +50,26 @@ def test_crowded_regions(spark, monkeypatch):
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == brute(texts)
 
 
+def check(spark, texts):
+    got = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == brute(texts)
+
+
+def changed(words, at, mark):
+    return [f"{mark}{i}" if i in at else w for i, w in enumerate(words)]
+
+
+def test_pairs_parted_by_longer_prefixes(spark, monkeypatch):
+    """Many pairs at 0.86 in crowded regions, which the longer prefixes cut between their ends."""
+    monkeypatch.setattr(minhash, "CROWD", 3)
+    base = [f"w{i}" for i in range(120)]
+    texts = {}
+    for k in range(60):
+        mine = changed(base, {(7 * k + d) % 120 for d in (0, 31, 62, 93)}, f"m{k}_")
+        texts[2 * k], texts[2 * k + 1] = " ".join(mine), " ".join(changed(mine, {(7 * k + d) % 120 for d in (15, 46, 77)}, f"n{k}_"))
+    check(spark, texts)
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
