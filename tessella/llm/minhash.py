@@ -10,9 +10,9 @@
    partners, the partners adjacent in sorted order (longest common prefix) and the region's most central member.
 4. Candidates are verified on the full sets, first a spanning forest of the likeliest ones, then every
    other candidate that would still join two components.  Links are the verified pairs; components follow.
-5. What step 3 leaves out of a crowded region is made up for: the whole regions of depth ``DEPTH`` are compared
+5. What step 3 leaves out of a region above ``SMALL`` is made up for: the whole regions of depth ``DEPTH`` are compared
    again, block against block in separate tasks, and every pair that may reach the threshold and whose ends
-   still lie in different components is verified too.  Blocks of one and the same component are passed over.
+   still lie in different components is verified too, in the first tree where it shares a region.  Blocks of one and the same component are passed over.
 
 Only representatives in regions of two or more carry signatures, only documents in a candidate
 carry sets, and no step gathers a class, a component or the fingerprints of all documents in one place.
@@ -212,13 +212,16 @@ def _candidates(reps: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     rows = rows.repartition(parts, "region").sortWithinPartitions("region", "turned", "doc_id").select("region", "doc_id", "sig")
     found = rows.mapInArrow(_pairs(least), "a long, b long, est int, forest boolean")
     out = store.written(found.groupBy("a", "b").agg(F.max("est").alias("est"), F.max("forest").alias("forest")), "pairs")
-    whole = store.written(trees.join(size(top).filter(f"n_{top} > {CROWD}"), top).select(F.col(top).alias("region"), "doc_id", "tree"), "whole")
+    whole = store.written(trees.join(size(top).filter(f"n_{top} > {min(CROWD, SMALL)}"), top).select(F.col(top).alias("region"), "doc_id", "tree"), "whole")
     store.discard(trees)
     return out, whole
 
 
 def _across(least: float):
-    """Over rows (pair, side, doc_id, component, tree, sig) sorted by pair and side: pairs of both sides that cross components."""
+    """Over rows (pair, side, doc_id, component, sig, tree) sorted by pair and side: pairs of both sides that cross components.
+
+    A pair that shares a region of an earlier tree is left to it: there it is compared likewise or, in a region up to ``SMALL``, was a candidate."""
+    step = HASHES // TREES
 
     def compared(sides: tuple[list, list]) -> Iterator[pa.RecordBatch]:
         if not sides[0] or not sides[1]:
@@ -231,6 +234,10 @@ def _across(least: float):
                 for j in range(HASHES):
                     est += sigs[0][u, None, j] == sigs[1][None, v, j]
                 i, j = np.nonzero((est >= int(least * HASHES)) & (comps[0][u, None] != comps[1][None, v]))
+                for t in range(sides[0][0][3] if len(i) else 0):
+                    at_t = slice(t * step, t * step + DEPTH)
+                    new = (sigs[0][u][i, at_t] != sigs[1][v][j, at_t]).any(1)
+                    i, j = i[new], j[new]
                 a, b = ids[0][u][i], ids[1][v][j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 

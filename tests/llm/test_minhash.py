@@ -70,6 +70,20 @@ def test_pairs_parted_by_longer_prefixes(spark, monkeypatch):
     check(spark, texts)
 
 
+def test_bridges_between_tight_clusters(spark):
+    """Clusters of near copies, two and two joined by a single pair at 0.852 whose ends have many nearer partners."""
+    texts = {}
+    for g in range(6):
+        a = [f"g{g}w{i}" for i in range(400)]
+        b = changed(a, set(range(20, 400, 39)), f"g{g}b")
+        for at, base, tail in ((1000 * g, a, "s"), (1000 * g + 500, b, "t")):
+            whole = [*base, *(f"g{g}{tail}{i}" for i in range(3))]
+            texts[at] = " ".join(whole)
+            texts[at + 499] = " ".join(whole[:-1])
+            texts |= {at + k: " ".join(changed(whole, {5 * k + 3}, f"g{g}{tail}u{k}_")) for k in range(1, 60)}
+    check(spark, texts)
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
