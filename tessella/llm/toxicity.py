@@ -6,8 +6,9 @@ Spelling variants of the whole words that ordinary training documents use are le
 A logistic model over four features of the hits then gives the score.
 
 Scoring: a word hits if it is a lexicon word, begins with a lexicon stem, or is a misspelling: the
-Levenshtein automaton of the word, intersected with the lexicon trie, accepts a term within one
-edit (two from ten letters on).  Letter-like digits and signs are folded.  Each hit is weighed by the
+Levenshtein automaton of the word, intersected with the trie of all learned words and stems, accepts a
+term within one edit (two from ten letters on; words of under four letters are not searched), in the first letter as in others.  The automaton runs on the
+words that share a form with a term after as many deletions, which every misspelling does.  Letter-like digits and signs are folded.  Each hit is weighed by the
 window of words around it: inside quotation marks or beside words of reporting it counts
 ``QUOTED`` of its weight.  Scores come from the text alone; every word of every text is read.
 
@@ -34,8 +35,6 @@ from tessella.llm import store
 
 TRAIN_ROWS, MAX_TERMS, MEMO_WORDS = 8_000, 4_000, 500_000
 HELD_TERMS = 300_000
-#: Misspellings are sought of words that at least this share of the toxic training documents have.
-SPELT_SHARE = 0.02
 STEMS = (4, 5, 6, 7)
 CUT, QUOTED, WINDOW = 0.3, 0.35, 6
 _run = re.compile(r"(.)\1{2,}")
@@ -56,6 +55,15 @@ def fold(word: str) -> str:
     return word if word.isalpha() or not any(c.isalpha() for c in word) else word.translate(LEET)
 
 
+def deletions(word: str, k: int) -> set[str]:
+    """The word and what is left of it after up to ``k`` deletions.  Words within ``k`` edits of each other share one of these."""
+    out = last = {word}
+    for _ in range(k):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
 def edits(word: str) -> int:
     return 2 if len(word) >= 10 else 1
 
@@ -90,12 +98,15 @@ class Levenshtein:
     def alive(self, state: tuple) -> bool:
         return min(state) <= self.k
 
-    def accepted(self, trie: Trie) -> str | None:
-        """The first lexicon word that both accept; words share their first letter."""
-        node = trie.root.get(self.word[:1])
-        if node is None:
-            return None
-        todo = [(node, self.step(self.start(), self.word[0]))]
+    def accepted(self, trie: Trie, anywhere: bool = False) -> str | None:
+        """The first lexicon word that both accept; words share their first letter, unless edits may be ``anywhere``."""
+        if anywhere:
+            todo = [(trie.root, self.start())]
+        else:
+            node = trie.root.get(self.word[:1])
+            if node is None:
+                return None
+            todo = [(node, self.step(self.start(), self.word[0]))]
         while todo:
             node, state = todo.pop()
             if "" in node and state[-1] <= self.k:
@@ -111,23 +122,22 @@ class Model:
     words: frozenset = frozenset()
     stems: frozenset = frozenset()
     benign: frozenset = frozenset()
-    #: Words whose misspellings are sought; None: all.
-    spelt: frozenset | None = None
+    #: Words that a stem covers: they hit by it, and their misspellings by themselves.
+    family: frozenset = frozenset()
     mean: tuple = (0.0,) * 4
     scale: tuple = (1.0,) * 4
     weights: tuple = (0.0,) * 5
     fitted: bool = False
     trie: Trie | None = field(default=None, repr=False)
-    near: dict = field(default_factory=dict, repr=False)
+    #: By the number of deletions: the forms of all terms with as many deletions or fewer.
+    near: tuple = field(default=(), repr=False)
+    longest: int = 0
 
     def prepared(self) -> Model:
-        """Misspellings are sought of words that stand alone: others, alike in their first letters, are forms of a family."""
-        alike = Counter(w[:4] for w in self.words)
-        alone = [w for w in (self.words if self.spelt is None else self.spelt) if len(w) >= 5 and alike[w[:4]] < 3]
-        self.trie = Trie(alone)
-        self.near = {}
-        for w in alone:
-            self.near.setdefault(w[0], set()).update(range(len(w) - edits(w), len(w) + edits(w) + 1))
+        terms = self.words | self.family | self.stems
+        self.trie = Trie(terms)
+        self.longest = max(map(len, terms), default=0)
+        self.near = tuple(frozenset().union(*[deletions(w, k) for w in terms]) for k in range(3))
         return self
 
 
@@ -146,8 +156,9 @@ class Scorer:
             return 0.0
         if _run.search(w) and _run.sub(r"\1", w) in m.words:
             return 0.7
-        # Lengths that no term of this first letter can reach need no automaton.
-        if len(w) >= 4 and len(w) in m.near.get(w[0], ()) and Levenshtein(w, edits(w)).accepted(m.trie):
+        # Words that share no form with a term after as many deletions as edits are allowed need no automaton.
+        k = edits(w)
+        if 4 <= len(w) <= m.longest + k and not m.near[k].isdisjoint(deletions(w, k)) and Levenshtein(w, k).accepted(m.trie, anywhere=True):
             return 0.7
         return 0.0
 
@@ -261,8 +272,8 @@ def fit(train: DataFrame) -> Model:
     stems = {r.term for r in kept if r.kind == "s" and r.t >= 2 * single.get(r.term, r.t)}
     # It stays for its shortest form, and the words it covers need no entry.
     stems = {s for s in stems if not any(s[:k] in stems for k in STEMS if k < len(s))}
-    model = Model(words=frozenset(w for w in words if not any(w[:k] in stems for k in STEMS if len(w) > k)), stems=frozenset(stems))
-    model.spelt = model.words & {r.term for r in kept if r.kind == "w" and r.t >= SPELT_SHARE * toxic}
+    family = frozenset(w for w in words if any(w[:k] in stems for k in STEMS if len(w) > k))
+    model = Model(words=frozenset(words) - family, stems=frozenset(stems), family=family)
     spoken = counted.filter("kind = 'w' and o > t")
     model.benign = frozenset(r.term for r in spoken.mapInArrow(_neighbours(model), "term string").collect())
     rows = np.array([tuple(r) for r in train.mapInArrow(_features(model), "a double, b double, c double, d double, y int").collect()])

@@ -44,6 +44,27 @@ def test_rows_and_held_out_accuracy(spark):
     assert found >= 0.8 * sum(y for _, y in held) and found >= 0.95 * sum(p for p, _ in held)
 
 
+def test_misspellings_of_every_learned_term(spark):
+    """Of a rare term, a short one, forms of a family (alike in four letters; under a stem), and in the first letter."""
+    family = [f"brelk{x}" for x in ("ado", "imo", "uvo", "ezo")]
+    rows = [("the day was long and fine", 0)] * 4000 + [("a zoq day vermont", 1)] * 200 + [("the quimbel day", 1)] * 8
+    rows += [(f"{w} day", 1) for w in family for _ in range(60)]
+    model = T.fit(spark.createDataFrame(rows, "text string, toxic int"))
+    assert "quimbel" in model.words and model.stems
+    s = T.Scorer(model)
+    for word in ("quimbel", "quimbl", "zuimbel", "zoqq", "vermomt", "wermont", "brelkado", "brlkado", "prelkimo"):
+        assert s.hits([word]), word
+    assert not s.hits(["day", "fine", "kumbal", "velmomt", "bralkedi", "x" * 50_000])
+
+
+def test_deletions_miss_no_near_word():
+    words = ["abcde", "bcdea", "abde", "xbcde", "abcdefghij", "bacdefghji", "a", "ab", "ba"]
+    for a in words:
+        for b in words:
+            for k in (1, 2):
+                assert distance(a, b) > k or T.deletions(a, k) & T.deletions(b, k)
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (None, "x", 0.5), (3, "idiot " * 200_000, 0.5)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
