@@ -3,6 +3,8 @@
 The standard library's streaming parser turns a page into lines: the runs of text between block
 boundaries.  Each line has a text-to-tag ratio, its characters outside links over its tags; lines
 in structural boilerplate (navigation, forms, scripts, adverts, comments ...) have the ratio 0.
+Class names and ids (``HINTS``) only hint at boilerplate: outside an article or main element, an element with such
+a name is kept if it holds one, or nearly all text of the upper cluster.
 Ratios are smoothed by a Gaussian along the page and split in two clusters by a threshold; the
 upper cluster marks content.  The region taken is the article or main element that holds marked
 lines, or else the innermost element around nearly all of them; from it come all lines that are not boilerplate, short
@@ -39,17 +41,17 @@ KERNEL = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-3, 4)]
 
 
 class Line:
-    __slots__ = ("text", "tags", "link", "path", "dropped")
+    __slots__ = ("text", "tags", "link", "path", "dropped", "hinted")
 
-    def __init__(self, text: str, tags: int, link: int, path: tuple, dropped: bool):
-        self.text, self.tags, self.link, self.path, self.dropped = text, tags, link, path, dropped
+    def __init__(self, text: str, tags: int, link: int, path: tuple, dropped: bool, hinted: tuple):
+        self.text, self.tags, self.link, self.path, self.dropped, self.hinted = text, tags, link, path, dropped, hinted
 
 
 class _Element:
-    __slots__ = ("tag", "main", "dropped", "number")
+    __slots__ = ("tag", "main", "dropped", "hinted", "number")
 
-    def __init__(self, tag: str, main: bool, dropped: bool, number: int):
-        self.tag, self.main, self.dropped, self.number = tag, main, dropped, number
+    def __init__(self, tag: str, main: bool, dropped: bool, hinted: bool, number: int):
+        self.tag, self.main, self.dropped, self.hinted, self.number = tag, main, dropped, hinted, number
 
 
 class Lines(HTMLParser):
@@ -65,8 +67,14 @@ class Lines(HTMLParser):
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            held = any(e.dropped for e in self.stack)
-            self.lines.append(Line(text, self.tags, min(self.link, len(text)), tuple((e.number, e.main, e.tag) for e in self.stack if e.tag not in INLINE), held))
+            # Outside an article or main element, a class name is a hint that the page as a whole can overrule.
+            hinted, sure, inside = [], False, False
+            for e in self.stack:
+                inside = inside or e.main
+                sure = sure or e.dropped or (e.hinted and inside)
+                if e.hinted and not inside:
+                    hinted.append(e.number)
+            self.lines.append(Line(text, self.tags, min(self.link, len(text)), tuple((e.number, e.main, e.tag) for e in self.stack if e.tag not in INLINE), sure, tuple(hinted)))
         self.parts, self.tags, self.link = [], 0, 0
 
     def _dropped(self, tag: str, attrs: dict[str, str], inside: bool) -> bool:
@@ -76,6 +84,9 @@ class Lines(HTMLParser):
             return True
         if attrs.get("role", "").strip().lower() in ROLES:
             return True
+        return False
+
+    def _hinted(self, tag: str, attrs: dict[str, str], inside: bool) -> bool:
         tokens = set(re.split(r"[^a-z0-9]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
         if tag in ("html", "body", "main"):
             return False
@@ -99,7 +110,7 @@ class Lines(HTMLParser):
         main = tag in ("article", "main") or known.get("role", "").strip().lower() in ("main", "article")
         inside = any(e.main for e in self.stack)
         self.made += 1
-        self.stack.append(_Element(tag, main, self._dropped(tag, known, inside), self.made))
+        self.stack.append(_Element(tag, main, self._dropped(tag, known, inside), self._hinted(tag, known, inside), self.made))
         self.links += tag == "a"
 
     def _pop(self, k: int) -> None:
@@ -170,14 +181,41 @@ def threshold(values: list[float]) -> float:
     return math.expm1((low + high) / 2)
 
 
+def _ratios(lines: list[Line]) -> list[float]:
+    return smoothed([0.0 if x.dropped else (len(x.text) - x.link) / max(1, x.tags) for x in lines])
+
+
+def _settle(lines: list[Line]) -> None:
+    """Lines within hinted elements are dropped, but for elements that hold an article or main element
+    or nearly all text of the upper cluster: these are wrappers of the content, whatever their name."""
+    if not any(x.hinted for x in lines):
+        return
+    values = _ratios(lines)
+    cut = threshold(values)
+    total, held, wrappers = 0, {}, set()
+    for x, v in zip(lines, values, strict=True):
+        if x.dropped:
+            continue
+        size = len(x.text) if v >= cut else 0
+        total += size
+        for n in x.hinted:
+            held[n] = held.get(n, 0) + size
+        if any(main for _, main, _ in x.path):
+            wrappers.update(x.hinted)
+    wrappers.update(n for n, size in held.items() if total and size >= 0.9 * total)
+    for x in lines:
+        x.dropped = x.dropped or any(n not in wrappers for n in x.hinted)
+
+
 def extract(html: str | None) -> str:
     """The main text of a page, its lines joined by line feeds."""
     parser = Lines()
     parser.feed(html or "")
     lines = parser.done()
+    _settle(lines)
     if not lines or all(x.dropped for x in lines):
         return ""
-    values = smoothed([0.0 if x.dropped else (len(x.text) - x.link) / max(1, x.tags) for x in lines])
+    values = _ratios(lines)
     cut = threshold(values)
     marked = [x for x, v in zip(lines, values, strict=True) if v >= cut and not x.dropped] or [x for x in lines if not x.dropped]
     mains = {next((n for n, main, _ in x.path if main), None) for x in marked} - {None}

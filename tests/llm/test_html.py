@@ -28,6 +28,13 @@ def test_pages(page, text):
     assert extract(page) == text
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-ads", "with-comments"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_wrappers_named_like_boilerplate(name, tag):
+    page = f"<body><nav><a href=x>home</a></nav><div class='{name}'><{tag}><h1>T</h1><p>{LONG}</p><p>{LONG}</p></{tag}><div class=sidebar><a href=y>more</a></div></div></body>"
+    assert extract(page) == f"T\n{LONG.strip()}\n{LONG.strip()}"
+
+
 def test_smoothing_and_threshold():
     assert smoothed([5.0] * 4) == pytest.approx([5.0] * 4)
     assert smoothed([0, 0, 9, 0, 0])[2] < 9
