@@ -1,8 +1,8 @@
 """Operator 7: quality rules as a short-circuit cascade, in DataFrame functions only.
 
 Each rule is a Boolean Column over metrics.  On a sample of ``SAMPLE_ROWS`` documents at most, the
-cascade measures how often each rule rejects, and takes as its cost the nodes of the expression
-weighted by ``unit_cost``; rules then stand in order of rejections per cost, and one CASE applies them, so a
+cascade measures how often each rule rejects; its cost is the fixed ``unit_cost`` that the rule was given
+by hand, not measured; rules then stand in order of rejections per cost, and one CASE applies them, so a
 document that an early rule rejects costs the later ones nothing.  The order never changes which
 documents are kept, only which rule is named first and what the decision costs.
 
