@@ -3,25 +3,25 @@
 1. Every document becomes the set of its distinct word shingles (64-bit hashes) and a signature of
    ``HASHES`` minimum hashes.  Documents with equal sets form a class with one representative.
 2. ``TREES`` sorted orders: order t sorts representatives by the signature rotated by its own offset.
-   Representatives whose rotated signatures share at least ``DEPTH`` leading values are neighbours.
-   Where such a region is crowded, its depth adapts: it is cut by longer prefixes until it is not.
-3. Inside a region all members are compared by signature.  In a small one every pair that may
-   reach the threshold is a candidate; in a larger one each member gets its ``NEAREST`` likeliest
-   partners, the partners adjacent in sorted order (longest common prefix) and the region's most central member.
-4. Candidates are verified on the full sets, first a spanning forest of the likeliest ones, then every
-   other candidate that would still join two components.  Links are the verified pairs; components follow.
-5. What step 3 leaves out of a region above ``SMALL`` is made up for: the whole regions of depth ``DEPTH`` are compared
-   again, block against block in separate tasks, and every pair that may reach the threshold and whose ends
-   still lie in different components is verified too, in the first tree where it shares a region.  Blocks of one and the same component are passed over.
+   Representatives whose rotated signatures share at least ``DEPTH`` leading values form a region.
+   Where a region is crowded its depth adapts, branch by branch: it is cut at the longer common prefixes of
+   neighbours into leaves of ``LEAF`` members at most.
+3. First round: candidates are a spanning forest of the likeliest pairs of each leaf and the neighbours in sorted order, those
+   with the longest common prefixes, across leaves: at most two pairs a member and order, however large the region.
+   They are verified on the full sets; links join components.
+4. Second round: regions that the first one may not have exhausted, and which still hold several components, are compared whole,
+   block against block in separate tasks, whatever their size.  A member that may reach the threshold with one of another component is
+   sent on with its full set, and the block's task verifies all such pairs of different components and emits the links
+   that join some.  So no pair that shares a region and may reach the threshold is left out, unless its ends are joined already.
 
 Only representatives in regions of two or more carry signatures, only documents in a candidate
 carry sets, and no step gathers a class, a component or the fingerprints of all documents in one place.
 With 128 hashes and 16 orders of depth 4, a pair of similarity 0.85 shares no region with a chance of 1e-5,
-and its estimate falls below ``SLACK`` with one of about 2e-4.
+and its estimate falls below the threshold less ``SLACK`` with one of about 2e-4.
 
 Nulls and texts without words: an empty set, linked with nothing, kept.  Texts with fewer words
-than a shingle: the whole sequence is the one shingle.  Repeated ids are rows of one document.
-Empty tables give no rows.  Clashing extra columns are ignored: only doc_id and text are read.
+than a shingle: the whole sequence is the one shingle.  Rows with the same id are one document: they are linked, by whichever of their texts.
+Rows with a null id are linked with nothing and kept.  Empty tables give no rows.  Clashing extra columns are ignored: only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -37,9 +37,8 @@ from tessella.llm import store, words
 from tessella.llm.components import components
 
 HASHES, TREES, DEPTH = 128, 16, 4
-DEEPER = (12, 32)
-CROWD, SMALL, NEAREST = 4096, 64, 16
-BLOCK = 1024
+#: Members of a leaf; rows of a region that a task holds in the first round; load of a block (a member counts 1, or its shingles by ``LOAD``, if that is more).
+LEAF, HELD, BLOCK, LOAD = 64, 8192, 1024, 1000
 SLACK = 0.11
 _MULT = np.random.default_rng(5).integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig binary"
@@ -111,177 +110,283 @@ def _sets(k: int):
     return build
 
 
-def _forest_pairs(n: int, est: np.ndarray, keep: np.ndarray) -> np.ndarray:
-    """Mask over the kept pairs (i < j): a maximum spanning forest by estimate."""
+def _leaves(sig: np.ndarray, lcp: np.ndarray, leaf: int) -> list[tuple[int, int]]:
+    """Cuts a sorted region of more than ``leaf`` members into leaves: where a branch of the prefix tree is crowded, its
+    depth grows by as many values as its members share, until its branches aren't; equal signatures go in runs."""
+    out, todo = [], [(0, len(sig))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo <= leaf:
+            out.append((lo, hi))
+            continue
+        inner = lcp[lo + 1 : hi]
+        shared = int(inner.min())
+        at = np.arange(lo + leaf, hi, leaf) if shared >= HASHES else lo + 1 + np.flatnonzero(inner == shared)
+        todo += zip([lo, *at.tolist()], [*at.tolist(), hi], strict=True)
+    return out
+
+
+def _forest(est: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The pairs (i, j) of a maximum spanning forest of the kept pairs, by estimate, and how many kept pairs it leaves out."""
     i, j = np.nonzero(keep)
     order = np.argsort(-est[i, j], kind="stable")
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    used = np.zeros(len(i), bool)
-    left = n - 1
-    for x in order:
-        a, b = find(int(i[x])), find(int(j[x]))
+    root, used = list(range(len(est))), []
+    for x in order.tolist():
+        a, b = _find(root, int(i[x])), _find(root, int(j[x]))
         if a != b:
             root[a] = b
-            used[x] = True
-            left -= 1
-            if not left:
-                break
-    return used
-
-
-def _region_pairs(ids: np.ndarray, sig: np.ndarray, least: float):
-    """Candidates of one region: (a, b, estimate in hashes, of the spanning forest)."""
-    n = len(ids)
-    est = np.zeros((n, n), np.uint8)
-    for j in range(HASHES):
-        est += sig[:, None, j] == sig[None, :, j]
-    upper = np.triu(np.ones((n, n), bool), 1)
-    keep = upper & (est >= int(least * HASHES))
-    if n > SMALL:
-        near = np.zeros((n, n), bool)
-        alone = est.copy()
-        np.fill_diagonal(alone, 0)
-        top = np.argpartition(-alone.astype(np.int16), NEAREST, axis=1)[:, :NEAREST]
-        near[np.repeat(np.arange(n), NEAREST), top.ravel()] = True
-        near[np.arange(n - 1), np.arange(1, n)] = True
-        near[:, int(alone.sum(1, dtype=np.int64).argmax())] = True
-        keep &= near | near.T
-    i, j = np.nonzero(keep)
-    if not len(i):
-        return None
-    tree = _forest_pairs(n, est, keep)
-    a, b = ids[i], ids[j]
-    return np.minimum(a, b), np.maximum(a, b), est[i, j].astype(np.int32), tree
+            used.append(x)
+    return i[used], j[used], len(i) - len(used)
+
+
+def _find(root, x: int) -> int:
+    while root[x] != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
+
+
+def _signatures_of(column: pa.Array) -> np.ndarray:
+    """uint32[rows, HASHES] of a binary column of whole signatures."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], kind)
+    start = int(offsets[column.offset])
+    body = np.frombuffer(column.buffers()[2], np.uint8)[start : start + 4 * HASHES * len(column)]
+    return body.view(np.uint32).reshape(len(column), HASHES)
+
+
+def _candidates_of(percent: int):
+    """Over rows (region, doc_id, n_shingles, turned) sorted by region and turned signature: pairs (a, b), at most two per
+    row, and the numbers of regions that these may not exhaust."""
+    least, leaf, most = int((percent / 100 - SLACK) * HASHES), LEAF, HELD
+
+    def region_pairs(ids: np.ndarray, n: np.ndarray, sig: np.ndarray, alike: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        """``alike[i]``, ``lcp[i]``: equal values and leading equal values of i and i - 1."""
+        leaves = [(0, len(ids))] if len(ids) <= leaf else _leaves(sig, lcp, leaf)
+        left, right, rest, leaf_of = [], [], len(leaves) > 1, np.zeros(len(ids), np.int64)
+        for lo, hi in leaves:
+            leaf_of[lo:hi] = lo
+            if hi - lo < 2:
+                continue
+            s, m = sig[lo:hi], n[lo:hi]
+            est = (s[:, None] == s[None]).sum(2)
+            keep = np.triu((est >= least) & _sizes_allow(m[:, None], m[None], percent), 1)
+            i, j, out = _forest(est, keep)
+            left.append(lo + i)
+            right.append(lo + j)
+            rest = rest or out > 0
+        # Neighbours in sorted order that stand in different leaves.
+        x = np.flatnonzero((leaf_of[1:] != leaf_of[:-1]) & (alike[1:] >= least) & _sizes_allow(n[1:], n[:-1], percent))
+        return np.concatenate([*left, x]).astype(np.int64), np.concatenate([*right, x + 1]).astype(np.int64), rest
+
+    def compared(region: np.ndarray, ids: np.ndarray, n: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(region):
+            return
+        same = sig[1:] == sig[:-1]
+        alike = np.concatenate([[0], same.sum(1)])
+        lcp = np.concatenate([[0], np.where(same.all(1), HASHES, (~same).argmax(1))])
+        bounds = np.concatenate([[0], np.flatnonzero(region[1:] != region[:-1]) + 1, [len(region)]])
+        size = np.diff(bounds)
+        # Regions of two: their one pair is that of neighbours.
+        x = bounds[:-1][size == 2]
+        x = x[(alike[x + 1] >= least) & _sizes_allow(n[x], n[x + 1], percent)]
+        a, b, marks = [ids[x]], [ids[x + 1]], []
+        for lo, hi in zip(bounds[:-1][size > 2].tolist(), bounds[1:][size > 2].tolist(), strict=True):
+            i, j, rest = region_pairs(ids[lo:hi], n[lo:hi], sig[lo:hi], alike[lo:hi], lcp[lo:hi])
+            a.append(ids[lo + i])
+            b.append(ids[lo + j])
+            if rest:
+                marks.append(region[lo])
+        yield _pair_rows(np.concatenate(a), np.concatenate(b), marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3 + [np.zeros((0, HASHES), np.uint32)]
+        for batch in batches:
+            new = [np.asarray(batch.column(c)) for c in range(3)] + [_signatures_of(batch.column(3))]
+            rows = [np.concatenate(c) for c in zip(held, new, strict=True)]
+            # The last region may go on in the next batch.  One beyond HELD goes on from its last member, and is marked.
+            cut = int(np.searchsorted(np.flatnonzero(rows[0] != rows[0][-1]), len(rows[0]))) if len(rows[0]) else 0
+            if len(rows[0]) - cut > most:
+                yield from compared(*rows)
+                yield _pair_rows(np.zeros(0, np.int64), np.zeros(0, np.int64), [rows[0][-1]])
+                cut = len(rows[0]) - 1
+            else:
+                yield from compared(*[c[:cut] for c in rows])
+            held = [c[cut:].copy() for c in rows]
+        yield from compared(*held)
+        yield _pair_rows(np.zeros(0, np.int64), np.zeros(0, np.int64), [])
 
+    return run
 
-def _pairs(least: float):
-    """Over rows (region, doc_id, sig) sorted by region and rotated signature."""
-    empty = [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.bool_())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        region, ids, sigs = None, [], []
+def _pair_rows(a: np.ndarray, b: np.ndarray, marks: list) -> pa.RecordBatch:
+    none = [None] * len(marks)
+    columns = ([*np.minimum(a, b).tolist(), *none], [*np.maximum(a, b).tolist(), *none], [None] * len(a) + [int(x) for x in marks])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "region"])
 
-        def flush() -> list[pa.RecordBatch]:
-            got = _region_pairs(np.array(ids, np.int64), np.stack(sigs), least) if len(ids) > 1 else None
-            if got is None:
-                return []
-            return [pa.RecordBatch.from_arrays([pa.array(c) for c in got], ["a", "b", "est", "forest"])]
 
-        for batch in batches:
-            for g, d, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if g != region or len(ids) >= CROWD:
-                    yield from flush()
-                    # A region beyond CROWD goes on from its last member, so that its parts stay joined.
-                    ids, sigs = ([ids[-1]], [sigs[-1]]) if g == region else ([], [])
-                    region = g
-                ids.append(d)
-                sigs.append(np.frombuffer(s, np.uint32))
-        yield from flush()
-        yield pa.RecordBatch.from_arrays(empty, ["a", "b", "est", "forest"])
+def _sizes_allow(m, n, percent: int):
+    """Whether sets of m and n elements can have the similarity at all."""
+    return 100 * np.minimum(m, n) >= percent * np.maximum(m, n)
 
-    return run
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _candidates(reps: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """(a, b, est, forest), a < b, distinct, of ``reps(doc_id, sig)``; and (region, doc_id, tree) of the regions that these don't cover."""
+def _first_round(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b), a < b, distinct, of ``reps(doc_id, n_shingles, sig)``; and (region, doc_id, tree) of the regions that these may not exhaust."""
     step = 4 * HASHES // TREES
-    rotated = "concat(substring(sig, {0}, 10000), substring(sig, 1, {0} - 1))"
+    turned = "concat(substring(sig, {0}, 10000), substring(sig, 1, {0} - 1))"
     trees = reps.select("doc_id", F.explode(F.array(*[
-        F.struct(F.lit(t).alias("tree"), *[F.expr(f"xxhash64({t}, substring({rotated.format(1 + t * step)}, 1, {4 * d}))").alias(f"r{d}") for d in (DEPTH, *DEEPER)])
-        for t in range(TREES)])).alias("x")).select("doc_id", "x.*")
+        F.struct(F.lit(t).alias("tree"), F.expr(f"xxhash64({t}, substring({turned.format(1 + t * step)}, 1, {4 * DEPTH}))").alias("region"))
+        for t in range(TREES)])).alias("x")).select("doc_id", "x.*").distinct()
     trees = store.written(trees, "trees")
-    size = lambda c: trees.groupBy(c).agg(F.count(F.lit(1)).alias(f"n_{c}"))
-    top = f"r{DEPTH}"
-    members = trees.join(size(top).filter(f"n_{top} > 1"), top)
-    crowded = size(top).filter(f"n_{top} > {CROWD}").select(top)
-    mid, low = (f"r{d}" for d in DEEPER)
-    counts = trees.join(crowded, top, "left_semi").groupBy(mid).agg(F.count(F.lit(1)).alias("n_mid"))
-    members = members.filter(f"n_{top} <= {CROWD}").select("doc_id", "tree", F.col(top).alias("region")).union(
-        members.filter(f"n_{top} > {CROWD}").join(counts, mid).select("doc_id", "tree", F.when(F.col("n_mid") <= CROWD, F.col(mid)).otherwise(F.col(low)).alias("region"))
-    )
-    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = members.hint("merge").join(reps.select("doc_id", "sig"), "doc_id")
-    rows = rows.select("region", "doc_id", "sig", F.expr("concat(substring(sig, 1 + tree * {0}, 10000), substring(sig, 1, tree * {0}))".format(step)).alias("turned"))
-    rows = rows.repartition(parts, "region").sortWithinPartitions("region", "turned", "doc_id").select("region", "doc_id", "sig")
-    found = rows.mapInArrow(_pairs(least), "a long, b long, est int, forest boolean")
-    out = store.written(found.groupBy("a", "b").agg(F.max("est").alias("est"), F.max("forest").alias("forest")), "pairs")
-    whole = store.written(trees.join(size(top).filter(f"n_{top} > {min(CROWD, SMALL)}"), top).select(F.col(top).alias("region"), "doc_id", "tree"), "whole")
-    store.discard(trees)
-    return out, whole
-
-
-def _across(least: float):
-    """Over rows (pair, side, doc_id, component, sig, tree) sorted by pair and side: pairs of both sides that cross components.
-
-    A pair that shares a region of an earlier tree is left to it: there it is compared likewise or, in a region up to ``SMALL``, was a candidate."""
+    shared = trees.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("region")
+    rows = trees.hint("merge").join(shared, "region").hint("merge").join(reps, "doc_id")
+    rows = rows.select("region", "doc_id", "n_shingles", F.expr("concat(substring(sig, 1 + tree * {0}, 10000), substring(sig, 1, tree * {0}))".format(step)).alias("turned"))
+    rows = rows.repartition(_parts(reps), "region").sortWithinPartitions("region", "turned", "doc_id")
+    found = store.written(rows.mapInArrow(_candidates_of(percent), "a long, b long, region long"), "found")
+    pairs = store.written(found.filter("a < b").select("a", "b").distinct(), "pairs")
+    whole = store.written(trees.hint("merge").join(found.filter("region is not null").select("region").distinct(), "region"), "whole")
+    store.discard(trees, found)
+    return pairs, whole
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch], read) -> Iterator[tuple[str, list]]:
+    """Of rows (pair, side, ...) sorted by pair and side: each pair with the rows of both sides, as ``read(batch)`` gives them."""
+    pair, sides = None, ([], [])
+    for batch in batches:
+        for p, side, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), read(batch), strict=True):
+            if p != pair:
+                if sides[0] and sides[1]:
+                    yield pair, sides
+                pair, sides = p, ([], [])
+            sides[side].append(row)
+    if sides[0] and sides[1]:
+        yield pair, sides
+
+
+def _likely(u: list, v: list, least: int, percent: int) -> np.ndarray:
+    """Which rows (doc_id, component, n_shingles, signature, tree) of both sides may reach the threshold and cross components: bool[u, v].
+
+    A pair that shares a region of an earlier tree is left to it."""
     step = HASHES // TREES
+    x, y = np.stack([r[3] for r in u]), np.stack([r[3] for r in v])
+    out = np.zeros((len(u), len(v)), bool)
+    comps, sizes = (np.array([r[1] for r in v]), np.array([r[2] for r in v]))
+    for i, row in enumerate(u):
+        at = np.flatnonzero((comps != row[1]) & _sizes_allow(sizes, row[2], percent))
+        if not len(at):
+            continue
+        same = y[at] == x[i]
+        ok = same.sum(1) >= least
+        for t in range(row[4] if ok.any() else 0):
+            ok &= ~same[:, t * step : t * step + DEPTH].all(1)
+        out[i, at[ok]] = True
+    return out
 
-    def compared(sides: tuple[list, list]) -> Iterator[pa.RecordBatch]:
-        if not sides[0] or not sides[1]:
-            return
-        ids, comps, sigs = zip(*((np.array([r[0] for r in x], np.int64), np.array([r[1] for r in x], np.int64), np.stack([np.frombuffer(r[2], np.uint32) for r in x])) for x in sides), strict=True)
-        for lo in range(0, len(ids[0]), BLOCK):
-            for at in range(0, len(ids[1]), BLOCK):
-                u, v = slice(lo, lo + BLOCK), slice(at, at + BLOCK)
-                est = np.zeros((len(ids[0][u]), len(ids[1][v])), np.uint8)
-                for j in range(HASHES):
-                    est += sigs[0][u, None, j] == sigs[1][None, v, j]
-                i, j = np.nonzero((est >= int(least * HASHES)) & (comps[0][u, None] != comps[1][None, v]))
-                for t in range(sides[0][0][3] if len(i) else 0):
-                    at_t = slice(t * step, t * step + DEPTH)
-                    new = (sigs[0][u][i, at_t] != sigs[1][v][j, at_t]).any(1)
-                    i, j = i[new], j[new]
-                a, b = ids[0][u][i], ids[1][v][j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+def _sent_on(percent: int):
+    """(pair, side, doc_id) of the members with a likely partner, one row each."""
+    least = int((percent / 100 - SLACK) * HASHES)
+
+    def read(batch: pa.RecordBatch) -> Iterator[tuple]:
+        rows = zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 6)), _signatures_of(batch.column(5)).copy(), strict=True)
+        return ((d, c, n, s, t) for d, c, n, t, s in rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, sides = None, ([], [])
-        for batch in batches:
-            for p, side, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if p != pair:
-                    yield from compared(sides)
-                    pair, sides = p, ([], [])
-                sides[side].append(row)
-        yield from compared(sides)
+        for pair, (u, v) in _blocks_of(batches, read):
+            likely = _likely(u, v, least, percent)
+            ids = [[u[i][0] for i in np.flatnonzero(likely.any(1))], [v[i][0] for i in np.flatnonzero(likely.any(0))]]
+            sides = [0] * len(ids[0]) + [1] * len(ids[1])
+            if sides:
+                yield pa.RecordBatch.from_arrays([pa.array([pair] * len(sides)), pa.array(sides, pa.int32()), pa.array(ids[0] + ids[1], pa.int64())], ["pair", "side", "doc_id"])
 
     return run
 
 
-def _crossing(whole: DataFrame, sigs: DataFrame, label: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b, distinct: all pairs of the regions ``whole`` that may reach the threshold and cross components.
+def _exact(percent: int):
+    """Over rows (pair, side, doc_id, component, set): links that join components, by exact similarity of all pairs of both sides that cross them."""
+
+    def read(batch: pa.RecordBatch) -> Iterator[tuple]:
+        sets = batch.column(4)
+        return ((d, c, sets[i].values.to_numpy(zero_copy_only=False)) for i, (d, c) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (u, v) in _blocks_of(batches, read):
+            yield _pair_rows(*_links_across(u, v, percent), []).drop_columns(["region"])
 
-    A component with more than ``BLOCK`` members in a region has blocks of its own; the others are dealt
-    over mixed blocks, each as a whole.  A region of one component has no row."""
-    rows = whole.join(label.select(F.col("node").alias("doc_id"), "component").hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    sizes = rows.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
-    several = sizes.groupBy("region").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n_components")).filter("n_components > 1")
-    sizes = sizes.join(several.hint("merge"), "region")
-    rows = rows.join(sizes.hint("merge"), ["region", "component"])
+    return run
+
+
+def _links_across(u: list, v: list, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    root: dict[int, int] = {r[1]: r[1] for r in (*u, *v)}
+    elements, places = np.unique(np.concatenate([r[2] for r in v]), return_inverse=True)
+    sizes = np.array([len(r[2]) for r in v])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    a, b = [], []
+    for d, c, mine in u:
+        own = _find(root, c)
+        at = np.flatnonzero(np.array([_find(root, r[1]) != own for r in v]) & _sizes_allow(sizes, len(mine), percent))
+        if not len(at):
+            continue
+        marked = np.zeros(len(elements) + 1, bool)
+        where = np.searchsorted(elements, mine)
+        hit = where < len(elements)
+        hit[hit] = elements[where[hit]] == mine[hit]
+        marked[where[hit]] = True
+        if len(at) * 4 > len(v):
+            both = np.add.reduceat(marked[places].astype(np.int64), starts)[at]
+        else:
+            both = np.array([np.count_nonzero(marked[places[starts[i] : starts[i] + sizes[i]]]) for i in at])
+        for i in at[100 * both >= percent * (len(mine) + sizes[at] - both)].tolist():
+            x, y = _find(root, c), _find(root, v[i][1])
+            if x != y:
+                root[x] = y
+                a.append(d)
+                b.append(v[i][0])
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _second_round(whole: DataFrame, reps: DataFrame, label: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b): links between components of ``label`` that share a region of ``whole``.
+
+    A component with a load above ``BLOCK`` in a region has blocks of its own; the others are dealt
+    over mixed blocks, each as a whole.  Blocks of one and the same component are passed over."""
+    label = label.select(F.col("node").alias("doc_id"), "component")
+    members = whole.hint("merge").join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    several = members.groupBy("region").agg((F.min("component") < F.max("component")).alias("several")).filter("several").select("region")
+    load = F.greatest(F.lit(1.0), F.col("n_shingles") / LOAD)
+    rows = store.written(members.hint("merge").join(several, "region").hint("merge").join(reps.withColumn("load", load), "doc_id"), "members")
+    sizes = rows.groupBy("region", "component").agg(F.sum("load").alias("n"))
+    total = sizes.groupBy("region").agg(F.sum("n").alias("total"))
+    placed = rows.select("region", "doc_id", "tree", "component").hint("merge").join(sizes, ["region", "component"]).hint("merge").join(total, "region")
     own = F.col("n") > BLOCK
     part = F.when(own, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK))).otherwise(F.pmod(F.xxhash64("component"), F.ceil(F.col("total") / BLOCK)))
-    rows = rows.select("region", "doc_id", "tree", "component", F.when(own, F.col("component")).alias("only"), F.concat_ws(":", F.when(own, F.col("component").cast("string")), part.cast("string")).alias("block"))
-    dealt = store.written(rows, "blocks")
-    blocks = dealt.select("region", "block", "only").distinct()
+    placed = store.written(placed.select("region", "doc_id", "tree", "component", F.when(own, F.col("component")).alias("only"), F.concat_ws(":", F.when(own, F.col("component").cast("string")), part.cast("string")).alias("block")), "placed")
+    blocks = placed.select("region", "block", "only").distinct()
     other = blocks.select("region", F.col("block").alias("block2"), F.col("only").alias("only2"))
     pairs = blocks.hint("merge").join(other, "region").filter("block <= block2 and not coalesce(only = only2, false)")
     pairs = pairs.select("region", F.concat_ws(" ", "region", "block", "block2").alias("pair"), F.posexplode(F.array("block", "block2")).alias("side", "block"))
-    parts = int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = dealt.drop("only").hint("merge").join(pairs, ["region", "block"]).hint("merge").join(sigs, "doc_id").select("pair", "side", "doc_id", "component", "sig", "tree")
-    found = rows.repartition(parts, "pair").sortWithinPartitions("pair", "side", "doc_id").mapInArrow(_across(least), "a long, b long")
-    out = store.written(found.distinct(), "pairs")
-    store.discard(dealt)
-    return out
+    dealt = placed.select("region", "doc_id", "component", "block").hint("merge").join(pairs, ["region", "block"]).hint("merge").join(rows.select("region", "doc_id", "n_shingles", "sig", "tree"), ["region", "doc_id"])
+    dealt = dealt.select("pair", "side", "doc_id", "component", "n_shingles", "sig", "tree")
+    parts = _parts(whole)
+    sent = store.written(dealt.repartition(parts, "pair").sortWithinPartitions("pair", "side", "doc_id").mapInArrow(_sent_on(percent), "pair string, side int, doc_id long"), "sent")
+    store.discard(rows, placed)
+    sets = _sets_of(docs, sent.select("doc_id").distinct(), shingle)
+    full = sent.hint("merge").join(label, "doc_id", "left").hint("merge").join(sets, "doc_id").select("pair", "side", "doc_id", F.coalesce("component", "doc_id").alias("component"), "set")
+    links = store.written(full.repartition(parts, "pair").sortWithinPartitions("pair", "side", "doc_id").mapInArrow(_exact(percent), "a long, b long").distinct(), "links")
+    store.discard(sent, sets)
+    return links
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    return store.written(docs.join(nodes.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(shingle), "doc_id long, set array<long>"), "sets")
+    """(doc_id, set) of the documents in ``nodes``; a row for each distinct text of an id."""
+    found = docs.hint("merge").join(nodes, "doc_id", "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
+    return store.written(found.select("doc_id", "text").mapInArrow(_sets(shingle), "doc_id long, set array<long>"), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -294,34 +399,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, n_links (verified links of its class)."""
+    """doc_id, n_shingles, component_id, kept, n_links (links of its class that were verified and joined components)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = store.written(docs.mapInArrow(_sign(shingle), SIGNED), "signed")
     filled = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    reps = store.written(filled.join(classes, (filled.h1 == classes.h1) & (filled.h2 == classes.h2) & (filled.doc_id == classes.rep), "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "sig"), "reps")
-    least = percent / 100 - SLACK
-    found, whole = _candidates(reps, least)
-    sigs = store.written(reps.hint("merge").join(whole.select("doc_id").distinct(), "doc_id", "left_semi"), "sigs")
-    store.discard(reps)
-    nodes = found.select(F.col("a").alias("doc_id")).union(found.select(F.col("b").alias("doc_id"))).distinct()
+    classes = store.written(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = filled.join(classes, (filled.h1 == classes.h1) & (filled.h2 == classes.h2) & (filled.doc_id == classes.rep), "left_semi")
+    reps = store.written(reps.dropDuplicates(["doc_id", "h1", "h2"]).select("doc_id", "n_shingles", "sig"), "reps")
+    # Ids whose rows fall in several classes link these; ids of one class alone need no row.
+    spread = filled.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    several = filled.groupBy("doc_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select(F.col("doc_id").alias("a"))
+    same_id = store.written(spread.join(several, "a", "left_semi"), "same_id")
+    pairs, whole = _first_round(reps, percent)
+    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = _sets_of(docs, nodes, shingle)
-    first = store.written(_verified(found.filter("forest"), sets, percent), "links")
-    label = components(first)
-    rest = found.filter("not forest")
-    for side in ("a", "b"):
-        rest = rest.join(label.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
-    second = store.written(_verified(rest.filter("ca <> cb").select("a", "b"), sets, percent), "links")
-    links = first.union(second)
-    store.discard(sets)
+    links = store.written(_verified(pairs, sets, percent).distinct().union(same_id), "links")
+    store.discard(sets, pairs, same_id)
     label = store.written(components(links), "components")
-    # All candidates that cross these components are verified and failed.
-    across = store.written(_crossing(whole, sigs, label, least).hint("merge").join(found.select("a", "b"), ["a", "b"], "left_anti"), "across")
-    store.discard(whole, sigs)
-    if not across.isEmpty():
-        sets = _sets_of(docs, across.select(F.col("a").alias("doc_id")).union(across.select(F.col("b").alias("doc_id"))).distinct(), shingle)
-        links = links.union(store.written(_verified(across, sets, percent), "links"))
-        store.discard(sets, label)
+    more = _second_round(whole, reps, label, docs, shingle, percent)
+    store.discard(whole, reps)
+    if not more.isEmpty():
+        links = links.union(more)
+        store.discard(label)
         label = store.written(components(links), "components")
     degree = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     known = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
@@ -330,10 +429,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
     some = F.col("n_shingles") > 0
     rows = signed.select("doc_id", "n_shingles", F.when(some, F.col("h1")).alias("h1"), F.when(some, F.col("h2")).alias("h2"))
     out = rows.join(known, ["h1", "h2"], "left")
-    component = F.coalesce("_c", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce("_l", F.lit(0)).alias("n_links"))
 
 
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, less those of documents that are linked with a smaller id; of rows with the same id, one stays."""
+    verdict = store.written(near_duplicates(docs, shingle, percent).select(F.col("doc_id").alias("_id"), "kept"), "verdict")
+    gone = verdict.filter("not kept").select("_id").distinct()
+    repeated = verdict.filter("kept and _id is not null").groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_id")
+    left = docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated.hint("merge"), F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    first = left.join(repeated.hint("merge"), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    first = first.toDF(*names).select(F.struct(*names).alias("_row"), F.col(f"_c{docs.columns.index('doc_id')}").cast("long").alias("_id"), F.xxhash64(*names).alias("_h"))
+    first = first.groupBy("_id").agg(F.min_by("_row", "_h").alias("_row")).select("_row.*")
+    return once.union(first.toDF(*docs.columns))
+
+
 def op2_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of all documents: 3-word shingles, similarity 0.85."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "kept")

@@ -1,6 +1,9 @@
 import re
+from collections import Counter, defaultdict
 from itertools import combinations
 
+import pytest
+
 from tessella.llm import minhash
 from tessella.llm.components import components
 
@@ -41,15 +44,6 @@ def test_documents_against_brute_force(spark):
     assert {tuple(r) for r in got} == brute(dict(zip(t["doc_id"], t["text"], strict=True)))
 
 
-def test_crowded_regions(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "CROWD", 40)
-    monkeypatch.setattr(minhash, "SMALL", 20)
-    base = [f"w{i}" for i in range(150)]
-    texts = {i: " ".join([*base[: i % 150], f"u{i}", *base[i % 150 + 1 :]]) for i in range(200)}
-    got = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
-    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == brute(texts)
-
-
 def check(spark, texts):
     got = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == brute(texts)
@@ -59,9 +53,20 @@ def changed(words, at, mark):
     return [f"{mark}{i}" if i in at else w for i, w in enumerate(words)]
 
 
-def test_pairs_parted_by_longer_prefixes(spark, monkeypatch):
+@pytest.fixture(params=[(64, 8192, 1024), (3, 20, 8)], ids=["whole", "cut"])
+def sizes(request, monkeypatch):
+    """Leaves, held rows and blocks as they are, and so small that regions exceed all three."""
+    for name, value in zip(("LEAF", "HELD", "BLOCK"), request.param, strict=True):
+        monkeypatch.setattr(minhash, name, value)
+
+
+def test_crowded_regions(spark, sizes):
+    base = [f"w{i}" for i in range(150)]
+    check(spark, {i: " ".join([*base[: i % 150], f"u{i}", *base[i % 150 + 1 :]]) for i in range(200)})
+
+
+def test_pairs_parted_by_longer_prefixes(spark, sizes):
     """Many pairs at 0.86 in crowded regions, which the longer prefixes cut between their ends."""
-    monkeypatch.setattr(minhash, "CROWD", 3)
     base = [f"w{i}" for i in range(120)]
     texts = {}
     for k in range(60):
@@ -70,7 +75,7 @@ def test_pairs_parted_by_longer_prefixes(spark, monkeypatch):
     check(spark, texts)
 
 
-def test_bridges_between_tight_clusters(spark):
+def test_bridges_between_tight_clusters(spark, sizes):
     """Clusters of near copies, two and two joined by a single pair at 0.852 whose ends have many nearer partners."""
     texts = {}
     for g in range(6):
@@ -92,3 +97,77 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 50), (70, 70), (99, 50)] + [(200, i) for i in range(201, 260)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 50: 50, 60: 50, 99: 50, **{i: 200 for i in range(200, 260)}}
+
+
+def test_groups_joined_only_across(spark, sizes):
+    """Pairs of groups of near copies, at 0.99 inside and 0.867 across."""
+    texts = {}
+    for g in range(10):
+        base = [f"g{g}w{i}" for i in range(300)]
+        for side, whole in enumerate((base, changed(base, set(range(7, 300, 43)), f"g{g}x"))):
+            texts |= {1000 * g + 500 * side + k: " ".join(changed(whole, {299 - k}, f"g{g}u{side}_{k}_")) for k in range(20)}
+    check(spark, texts)
+
+
+def test_dense_group_below_the_threshold(spark, sizes):
+    """Every pair may reach the threshold by its estimate, none does: candidates of the first round stay linear."""
+    base = [f"w{i}" for i in range(300)]
+    check(spark, {k: " ".join(changed(base, set(range(k % 9, 300, 18)), f"m{k}_")) for k in range(120)})
+
+
+def test_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (5, b), (2, b), (9, a + " tail"), (None, a), (None, None), (7, c), (7, c), (8, ""), (8, "")]
+    df = spark.createDataFrame([(i, t, i) for i, t in rows], "doc_id long, text string, kept long")
+    got = minhash.near_duplicates(df).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(5, 2, False), (2, 2, True), (9, 2, False), (None, None, True), (7, 7, True), (8, 8, True)}
+    left = minhash.one_of_each(df, 3, 85)
+    assert left.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted([(2, b), (None, a), (None, None), (7, c), (8, "")], key=repr)
+
+
+def test_recall_on_all_pairs(spark):
+    """10,000 documents: components against exact ones, by an index over rare shingles that misses no pair."""
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.1/documents.parquet").to_pydict()
+    sets = {}
+    for i, text in zip(t["doc_id"], t["text"], strict=True):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        sets[i] = frozenset(tuple(w[j : j + 3]) for j in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)] if w else [])
+    by_set = defaultdict(list)
+    for i, x in sets.items():
+        if x:
+            by_set[x].append(i)
+    count = Counter(g for x in by_set for g in x)
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def join(a, b):
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+
+    index = defaultdict(list)
+    for x, ids in sorted(by_set.items(), key=lambda p: len(p[0])):
+        for i in ids:
+            join(ids[0], i)
+        prefix = sorted(x, key=lambda g: (count[g], g))[: len(x) - -(-85 * len(x) // 100) + 1]
+        for y in {id(y): y for g in prefix for y in index[g]}.values():
+            if 100 * len(y) >= 85 * len(x):
+                n = len(x & y)
+                if 100 * n >= 85 * (len(x) + len(y) - n):
+                    join(ids[0], by_set[y][0])
+        for g in prefix:
+            index[g].append(x)
+    want = {i: find(i) for i in sets}
+    got = {r.doc_id: r.component_id for r in minhash.op2_minhash_forest(spark, "/root/testdata/sf0.1").collect()}
+    linked = [i for i in want if want[i] != i]
+    assert len(linked) > 500 and set(got) == set(want)
+    assert sum(got[i] == want[i] for i in linked) >= 0.99 * len(linked) and all(got[i] == i or find(got[i]) == find(i) for i in want)
+    print("documents with a smaller one:", len(linked), "found:", sum(got[i] == want[i] for i in linked))
