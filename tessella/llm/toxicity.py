@@ -32,9 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import store
+from tessella.llm.words import mix
 
 TRAIN_ROWS, MAX_TERMS, MEMO_WORDS = 8_000, 4_000, 500_000
 HELD_TERMS = 300_000
+TOGETHER = 1 << 19
 STEMS = (4, 5, 6, 7)
 CUT, QUOTED, WINDOW = 0.3, 0.35, 6
 _run = re.compile(r"(.)\1{2,}")
@@ -55,15 +57,61 @@ def fold(word: str) -> str:
     return word if word.isalpha() or not any(c.isalpha() for c in word) else word.translate(LEET)
 
 
-def deletions(word: str, k: int) -> set[str]:
-    """The word and what is left of it after up to ``k`` deletions.  Words within ``k`` edits of each other share one of these."""
-    out = last = {word}
-    for _ in range(k):
-        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
-        out = out | last
+_BASE = 0x9E3779B97F4A7C15 | 1
+_BACK = pow(_BASE, -1, 2**64)
+
+
+def _falling(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def deletion_hashes(words: list[str], k: int) -> np.ndarray:
+    """Of words of one length: 64-bit hashes of the word and of what is left of it after up to ``k`` (0 to 2) deletions, a row a
+    word.  Words within ``k`` edits of each other share one of these; equal strings have equal hashes."""
+    n = len(words[0])
+    letters = np.array(words, f"<U{n}").view(np.uint32).reshape(len(words), n).astype(np.uint64)
+    total = np.zeros((len(words), n + 1), np.uint64)
+    np.cumsum(mix(letters + np.uint64(1)) * _falling(n, _BASE), axis=1, out=total[:, 1:])
+    back, end = [np.uint64(pow(_BACK, d, 2**64)) for d in range(3)], total[:, -1:]
+    out = [end]
+    if k:
+        out.append(total[:, :-1] + (end - total[:, 1:]) * back[1])
+    if k > 1:
+        i, j = np.triu_indices(n, 1)
+        out.append(total[:, i] + (total[:, j] - total[:, i + 1]) * back[1] + (end - total[:, j + 1]) * back[2])
+    return mix(np.concatenate(out, axis=1))
+
+
+def by_length(words) -> dict[int, list[str]]:
+    out: dict[int, list[str]] = {}
+    for w in words:
+        out.setdefault(len(w), []).append(w)
     return out
 
 
+class Near:
+    """Which words share a form with a term after up to ``k`` deletions each."""
+
+    def __init__(self, terms, k: int):
+        self.k = k
+        found = [deletion_hashes(ws, min(k, n)).ravel() for n, ws in by_length(terms).items() if n]
+        self.forms = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[(self.forms >> np.uint64(42)).astype(np.int64)] = True
+
+    def of(self, words: list[str]) -> list[str]:
+        """``words``: of one length."""
+        hashes = deletion_hashes(words, self.k)
+        row, column = np.nonzero(self.seen[(hashes >> np.uint64(42)).astype(np.int64)])
+        if not len(row):
+            return []
+        x = hashes[row, column]
+        at = np.minimum(np.searchsorted(self.forms, x), len(self.forms) - 1)
+        return [words[i] for i in np.unique(row[self.forms[at] == x]).tolist()]
+
+
 def edits(word: str) -> int:
     return 2 if len(word) >= 10 else 1
 
@@ -129,15 +177,15 @@ class Model:
     weights: tuple = (0.0,) * 5
     fitted: bool = False
     trie: Trie | None = field(default=None, repr=False)
-    #: By the number of deletions: the forms of all terms with as many deletions or fewer.
-    near: tuple = field(default=(), repr=False)
+    #: By the number of edits: the terms' forms after as many deletions or fewer.
+    near: dict = field(default_factory=dict, repr=False)
     longest: int = 0
 
     def prepared(self) -> Model:
         terms = self.words | self.family | self.stems
         self.trie = Trie(terms)
         self.longest = max(map(len, terms), default=0)
-        self.near = tuple(frozenset().union(*[deletions(w, k) for w in terms]) for k in range(3))
+        self.near = {k: Near(terms, k) for k in (1, 2)}
         return self
 
 
@@ -148,35 +196,63 @@ class Scorer:
         self.seen: set[str] = set()
         self.hot: dict[str, float] = {}
 
-    def _weigh(self, w: str) -> float:
-        m = self.m
-        if w in m.words or (m.stems and any([w[:k] in m.stems for k in STEMS])):
-            return 1.0
-        if w in m.benign:
-            return 0.0
-        if _run.search(w) and _run.sub(r"\1", w) in m.words:
-            return 0.7
+    def weigh(self, words: list[str]) -> dict[str, float]:
+        """The weights of those folded words that hit."""
+        m, out, unknown = self.m, {}, []
+        for w in words:
+            if w in m.words or (m.stems and any([w[:k] in m.stems for k in STEMS])):
+                out[w] = 1.0
+            elif w in m.benign:
+                continue
+            elif _run.search(w) and _run.sub(r"\1", w) in m.words:
+                out[w] = 0.7
+            elif 4 <= len(w) <= m.longest + edits(w):
+                unknown.append(w)
         # Words that share no form with a term after as many deletions as edits are allowed need no automaton.
-        k = edits(w)
-        if 4 <= len(w) <= m.longest + k and not m.near[k].isdisjoint(deletions(w, k)) and Levenshtein(w, k).accepted(m.trie, anywhere=True):
-            return 0.7
-        return 0.0
+        for n, group in by_length(unknown).items():
+            for lo in range(0, len(group), 2048):
+                k = edits(group[lo])
+                for w in m.near[k].of(group[lo : lo + 2048]):
+                    if Levenshtein(w, k).accepted(m.trie, anywhere=True):
+                        out[w] = 0.7
+        return out
 
-    def hits(self, words: list[str]) -> list[tuple[int, float]]:
-        distinct = set(words)
-        fresh = distinct - self.seen
+    def learn(self, words: set[str]) -> None:
+        """Weighs those of the words that are not known yet."""
+        fresh = words - self.seen
         if len(self.seen) + len(fresh) > MEMO_WORDS:
-            self.seen, self.hot, fresh = set(), {}, distinct
-        for w in fresh:
-            if weight := self._weigh(fold(w)):
-                self.hot[w] = weight
+            self.seen, self.hot, fresh = set(), {}, words
+        folded = {w: fold(w) for w in fresh}
+        weights = self.weigh(list(set(folded.values())))
+        if weights:
+            self.hot |= {w: weights[f] for w, f in folded.items() if f in weights}
         self.seen |= fresh
+
+    def hits(self, words: list[str]) -> list[tuple[int, float]]:
+        distinct = set(words)
+        if not distinct <= self.seen:
+            self.learn(distinct)
         hot = self.hot
         return [] if hot.keys().isdisjoint(distinct) else [(i, hot[w]) for i, w in enumerate(words) if w in hot]
 
     def features(self, text: str) -> tuple[float, float, float, float]:
         """Weighted hits, hits per hundred words, most in one window, share in quotation."""
-        words = tokens(text)
+        return self._features(text, tokens(text))
+
+    def all_features(self, texts: list[str]) -> Iterator[tuple[float, float, float, float]]:
+        """``features`` of each text; the words of about ``TOGETHER`` characters of text are weighed at once."""
+        lo = 0
+        while lo < len(texts):
+            hi, size = lo, 0
+            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= TOGETHER):
+                size += len(texts[hi])
+                hi += 1
+            words = [tokens(t) for t in texts[lo:hi]]
+            self.learn(set().union(*words))
+            yield from map(self._features, texts[lo:hi], words)
+            lo = hi
+
+    def _features(self, text: str, words: list[str]) -> tuple[float, float, float, float]:
         hits = self.hits(words)
         if not hits:
             return 0.0, 0.0, 0.0, 0.0
@@ -203,7 +279,8 @@ class Scorer:
             said = any(w in REPORTING for w in words[max(0, i - WINDOW) : i])
             if not said and marked:
                 if starts is None:
-                    starts = [(m.start(), m.end()) for m in _word.finditer(text.lower())] if len(text.lower()) == len(text) else []
+                    text = text.lower()
+                    starts = [(m.start(), m.end()) for m in _word.finditer(text)]
                 if starts:
                     a, b = starts[max(0, i - WINDOW)][0], starts[min(len(starts) - 1, i + WINDOW)][1]
                     before, after = text[a : starts[i][0]], text[starts[i][1] : b]
@@ -213,11 +290,15 @@ class Scorer:
         return out
 
     def score(self, text: str) -> float:
-        if not self.m.fitted:
-            return 0.0
-        x = self.features(text)
-        z = self.m.weights[0] + sum(w * (v - a) / s for w, v, a, s in zip(self.m.weights[1:], x, self.m.mean, self.m.scale, strict=True))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        m = self.m
+        if not m.fitted:
+            return [0.0] * len(texts)
+        parts = list(zip(m.weights[1:], m.mean, m.scale, strict=True))
+        sums = (m.weights[0] + sum(w * (v - a) / s for v, (w, a, s) in zip(x, parts, strict=True)) for x in self.all_features([t or "" for t in texts]))
+        return [1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) for z in sums]
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +377,9 @@ def _neighbours(model: Model):
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            out = [w for w in batch.column(1).to_pylist() if w not in model.words and 0 < scorer._weigh(w) < 1]
+            terms = [w for w in batch.column(1).to_pylist() if w not in model.words]
+            weights = scorer.weigh(terms)
+            out = [w for w in terms if 0 < weights.get(w, 0) < 1]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["term"])
 
     return near
@@ -306,7 +389,7 @@ def _features(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            x = [scorer.features(t or "") for t in batch.column(0).to_pylist()]
+            x = list(scorer.all_features([t or "" for t in batch.column(0).to_pylist()]))
             columns = list(zip(*x, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.float64()) for c in columns], batch.column(1)], ["a", "b", "c", "d", "y"])
 
@@ -319,7 +402,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            scores = [scorer.score(t or "") for t in batch.column(1).to_pylist()]
+            scores = scorer.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= CUT) for s in scores], pa.int32())], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
@@ -332,7 +415,7 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            keep = [scorer.score(t or "") < CUT for t in batch.column(place).to_pylist()]
+            keep = [x < CUT for x in scorer.scores(batch.column(place).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -57,12 +57,25 @@ def test_misspellings_of_every_learned_term(spark):
     assert not s.hits(["day", "fine", "kumbal", "velmomt", "bralkedi", "x" * 50_000])
 
 
-def test_deletions_miss_no_near_word():
-    words = ["abcde", "bcdea", "abde", "xbcde", "abcdefghij", "bacdefghji", "a", "ab", "ba"]
-    for a in words:
-        for b in words:
-            for k in (1, 2):
-                assert distance(a, b) > k or T.deletions(a, k) & T.deletions(b, k)
+words_near = st.lists(st.one_of(st.text("abé", min_size=1, max_size=12), st.sampled_from(["abcdefghij", "bacdefghji", "abcdefghijk"])), min_size=1, max_size=8)
+
+
+@given(words_near, words_near)
+def test_filter_misses_no_near_word(terms, words):
+    for k in (1, 2):
+        near = T.Near(terms, k)
+        for n, group in T.by_length(words).items():
+            if n > k:
+                assert {w for w in group if any(distance(w, t) <= k for t in terms)} <= set(near.of(group))
+
+
+@given(words_near, st.lists(st.text("abéx1", min_size=1, max_size=12), max_size=8))
+def test_hits_against_edit_distances(terms, words):
+    s = T.Scorer(T.Model(words=frozenset(terms)))
+    for i, w in enumerate(words):
+        f = T.fold(w)
+        near = f in terms or T._run.sub(r"\1", f) in terms or (len(f) >= 4 and any(distance(f, t) <= T.edits(f) for t in terms))
+        assert [h[0] for h in s.hits(words) if h[0] == i] == ([i] if near else [])
 
 
 def test_odd_rows(spark):
