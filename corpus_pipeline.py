@@ -33,9 +33,10 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of operator 8: the rows of file k stand before those of file k + 1."""
-    mixed = mixing.mix(docs)
+    mixed, names = mixing.mix(docs), mixing.added(docs.columns)
+    order = (names["mix_slot"], names["mix_rank"])
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return mixed.repartitionByRange(parts, "mix_slot", "mix_rank").sortWithinPartitions("mix_slot", "mix_rank").select(*docs.columns)
+    return mixed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
