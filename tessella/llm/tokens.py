@@ -71,7 +71,7 @@ class Encoder:
 
     Such a pre-tokenizer never joins a word to what precedes its one leading space, so the ids of
     ``" word"`` can be remembered.  That holds for printable words below U+3000, single line feeds
-    inside included; a text with any other word or spacing is encoded whole by the library.
+    inside included; a text with any other word or spacing, or with the string of an added token, is encoded whole by the library.
     """
 
     def __init__(self, path: str):
@@ -81,7 +81,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.tokenizer.encode_special_tokens = True
+        #: Strings that the library takes as one token wherever they stand.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         kind = repr(self.tokenizer.pre_tokenizer)
         self.by_word = self.tokenizer.normalizer is None and kind.startswith("ByteLevel(") and "add_prefix_space=False" in kind and "use_regex=True" in kind
         self.find = regex.compile(PATTERN).findall
@@ -115,7 +116,7 @@ class Encoder:
         return [self._text(t) for t in texts]
 
     def _text(self, text: str) -> bytes:
-        if not self.by_word:
+        if not self.by_word or any(a in text for a in self.added):
             return self.whole(text)
         words = text.split(" ")
         first = self._word(words[0], "")
@@ -240,7 +241,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
 
 def read_documents(manifest: DataFrame, doc_ids: list[int] | None = None) -> DataFrame:
     """Per stored document: doc_id, start, n_tokens, ids (binary), ids_crc32; of ``doc_ids`` only
-    those frames are decompressed.  Files are dealt to tasks one by one."""
+    those frames are decompressed.  Files are dealt in order over as many tasks as there are shuffle partitions, one each if they suffice."""
     wanted = None if doc_ids is None else set(doc_ids)
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
 
@@ -265,7 +266,8 @@ def read_documents(manifest: DataFrame, doc_ids: list[int] | None = None) -> Dat
                 f.close()
 
     files = manifest.select("file", "start")
-    return files.repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "file").mapInArrow(read, schema)
+    parts = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return files.repartitionByRange(parts, "start", "file").mapInArrow(read, schema)
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
