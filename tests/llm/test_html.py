@@ -2,6 +2,8 @@ import html as H
 import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tessella.llm.html import extract, main_text, op10_main_text, smoothed, threshold
 
@@ -35,6 +37,64 @@ def test_wrappers_named_like_boilerplate(name, tag):
     assert extract(page) == f"T\n{LONG.strip()}\n{LONG.strip()}"
 
 
+@pytest.mark.parametrize("name", ["id='related-work'", "class='social-history'", "class='no-ads'", "id=promotion-of-science"])
+def test_sections_named_like_boilerplate(name):
+    page = f"<article><h1>T</h1><p>{LONG}</p><section {name}><p>{LONG}</p></section><p>{LONG}</p></article>"
+    assert extract(page) == "\n".join(["T", *[LONG.strip()] * 3])
+
+
+@pytest.mark.parametrize("name", ["class=ad", "class='social-links'", "class='user-comments'", "id=comment-list-2", "class='related posts'", "class='cookie-bar'", "class='related-stories'"])
+def test_boilerplate_in_an_article(name):
+    page = f"<article><h1>T</h1><p>{LONG}</p><div {name}><p>Some words</p><p>More here</p></div><p>{LONG}</p></article>"
+    assert extract(page) == "\n".join(["T", *[LONG.strip()] * 2])
+
+
+def test_long_comments_never_stand_for_the_article():
+    page = f"<div class=page><h1>T</h1><p>{LONG}</p><div class=comments><article><p>{LONG * 9}</p></article></div></div>"
+    assert extract(page) == f"T\n{LONG.strip()}"
+
+
+def test_malformed_markup_is_read():
+    assert extract(f"<![foo[x]]><p>{LONG}</p><![CDATA[ y ]]><p>z</p><![if !IE]>") == f"{LONG.strip()}\nz"
+    assert extract("<p>a</p><!") == "a"
+
+
+def test_deep_nesting_takes_memory_by_length():
+    import time
+    import tracemalloc
+
+    page = "<div>x" * 20_000
+    start = time.monotonic()
+    tracemalloc.start()
+    # The innermost element around nine tenths of the text is the region.
+    assert extract(page).count("x") == 18_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20 and time.monotonic() - start < 20
+
+
+pieces = st.one_of(
+    st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<div class=ad>", "<article>", "</article>", "<a href=x>", "</a>", "<li>", "<br>", "<b>", "</b>", "<!--", "-->", "<![", "<!", "</", "<", ">", "&amp;", "&", "<script>", "</script>", "<?x", "<td>", "<table>", "</table>", "]]>", "<svg><title>", "<textarea>"]),
+    st.text("ab <&;>![]-/\n\u3000é", max_size=8),
+)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(pieces, max_size=25))
+def test_any_markup_gives_a_text(parts):
+    text = extract("".join(parts))
+    assert text == "\n".join(" ".join(x.split()) for x in text.split("\n")) and not (text and any(not x for x in text.split("\n")))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["p", "h2", "li", "blockquote", "div"]), st.text("abc d&<é", max_size=60), st.booleans()), max_size=12))
+def test_articles_against_their_blocks(blocks):
+    """What a page says of its parts beside what comes out: every block of the article, nothing from outside."""
+    inside = "".join(f"<{t}>{'<b>' if b else ''}{H.escape(x)}{'</b>' if b else ''}</{t}>" for t, x, b in blocks)
+    page = f"<html><head><title>no</title></head><body><header>no</header><nav><a href=1>no</a></nav><article><h1>{LONG}</h1>{inside}</article><aside>no</aside><footer>no</footer><script>no</script></body></html>"
+    assert extract(page) == "\n".join([LONG.strip(), *[w for _, x, _ in blocks if (w := " ".join(x.split()))]])
+
+
 def test_smoothing_and_threshold():
     assert smoothed([5.0] * 4) == pytest.approx([5.0] * 4)
     assert smoothed([0, 0, 9, 0, 0])[2] < 9
