@@ -1,8 +1,8 @@
 """Operator 7: quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule is a Boolean Column over metrics.  On a sample of ``SAMPLE_ROWS`` documents at most, the
-cascade measures how often each rule rejects; its cost is the fixed ``unit_cost`` that the rule was given
-by hand, not measured; rules then stand in order of rejections per cost, and one CASE applies them, so a
+Each rule is a Boolean Column over metrics.  On a sample of ``SAMPLE_ROWS`` documents at most, chosen by a hash and written once, the
+cascade measures which documents each rule rejects, and what it costs: the characters, words and lines that its metric visits there
+(``Rule.work``).  Rules then stand so that each next one has the most rejections per cost among the documents that those before it leave, and one CASE applies them, so a
 document that an early rule rejects costs the later ones nothing.  The order never changes which
 documents are kept, only which rule is named first and what the decision costs.
 
@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm import store
+
 #: Rows of the sample that only decides the order of rules.
 SAMPLE_ROWS = 2_000
 SPACES = "\t\n\x0b\x0c\r"
@@ -28,19 +30,20 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects``: SQL over the metrics, never null.  ``unit_cost``: what one evaluation costs beside another."""
+    """``rejects``: SQL over the metrics, never null.  ``work``: SQL over the metrics, how many elements of a document its metric visits."""
 
     name: str
     rejects: str
-    unit_cost: float = 1.0
+    work: str = "1"
 
 
-BASE = (Rule("too_short", "n_words < 50"), Rule("repeats_itself", "100 * n_repeat_words > 50 * n_words", 8.0))
+_CHARS = "word_chars + n_words"
+BASE = (Rule("too_short", "n_words < 50", _CHARS), Rule("repeats_itself", "100 * n_repeat_words > 50 * n_words", f"2 * ({_CHARS}) + n_words * log2(n_words + 2)"))
 RULES = (
-    Rule("symbols", "2 * n_symbols > n_words"),
-    Rule("repeated_lines", "2 * n_dup_lines > n_lines", 2.0),
-    Rule("word_length", "word_chars < 2 * n_words or word_chars > 20 * n_words"),
-    Rule("shouting", "2 * n_upper_words > n_words", 4.0),
+    Rule("symbols", "2 * n_symbols > n_words", _CHARS),
+    Rule("repeated_lines", "2 * n_dup_lines > n_lines", f"{_CHARS} + n_lines"),
+    Rule("word_length", "word_chars < 2 * n_words or word_chars > 20 * n_words", _CHARS),
+    Rule("shouting", "2 * n_upper_words > n_words", f"3 * ({_CHARS})"),
 )
 
 
@@ -91,11 +94,31 @@ def metrics(docs: DataFrame) -> DataFrame:
     )
 
 
+def sample_of(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """At most ``rows`` rows of ``docs(doc_id, text)``, by a hash, in the shared folder; every part of the table has its share."""
+    parts = max(1, docs.count() // max(1, rows) + 1)
+    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return store.written(chosen.filter(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(parts)) == 0).limit(rows), "sample")
+
+
 def order_rules(sample: DataFrame, rules: tuple[Rule, ...]) -> list[Rule]:
-    """By rejections per cost on the sample, dearest value first; ties keep their order."""
-    row = sample.agg(F.count(F.lit(1)).alias("_n"), *[F.sum(F.expr(r.rejects).cast("int")).alias(r.name) for r in rules]).first()
-    seen = max(1, row["_n"])
-    return sorted(rules, key=lambda r: -((row[r.name] or 0) / seen) / r.unit_cost)
+    """Each next rule has the most rejections per cost among the rows of ``sample`` that the ones before it leave; ties keep their order."""
+    bits = [F.when(F.expr(r.rejects), F.lit(1 << i)).otherwise(0) for i, r in enumerate(rules)]
+    mask = F.lit(0).cast("long")
+    for x in bits:
+        mask = mask + x
+    got = sample.select(mask.alias("mask"), *[F.expr(r.work).cast("double").alias(f"_w{i}") for i, r in enumerate(rules)])
+    rows = got.groupBy("mask").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"_w{i}").alias(f"_w{i}") for i in range(len(rules))]).collect()
+    # A row per set of rules that rejects some sampled document.
+    cost = [sum(r[f"_w{i}"] or 0.0 for r in rows) or 1.0 for i in range(len(rules))]
+    left, out = {r["mask"]: r["n"] for r in rows}, []
+    rest = list(range(len(rules)))
+    while rest:
+        best = min(rest, key=lambda i: (-sum(n for m, n in left.items() if m >> i & 1) / cost[i], i))
+        out.append(rules[best])
+        rest.remove(best)
+        left = {m: n for m, n in left.items() if not m >> best & 1}
+    return out
 
 
 def cascade(measured: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -108,7 +131,9 @@ def cascade(measured: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Metrics, ``base_failed``, ``rejected_by`` and ``kept`` of every document."""
-    ordered = order_rules(metrics(docs.limit(sample_rows)), base + rules)
+    sample = sample_of(docs, sample_rows)
+    ordered = order_rules(metrics(sample), base + rules)
+    store.discard(sample)
     failed = F.lit(False)
     for r in base:
         failed = failed | F.expr(r.rejects)

@@ -47,11 +47,24 @@ def test_empty_table(spark):
 
 def test_rules_stand_by_rejections_per_cost(spark):
     df = spark.range(10).selectExpr("id")
-    rules = (quality.Rule("rare", "id < 1"), quality.Rule("dear", "id < 9", 100.0), quality.Rule("often", "id < 5"))
+    rules = (quality.Rule("rare", "id < 1"), quality.Rule("dear", "id < 9", "100 + id"), quality.Rule("often", "id < 5"))
     assert [r.name for r in quality.order_rules(df, rules)] == ["often", "rare", "dear"]
     first = quality.cascade(df, quality.order_rules(df, rules)).groupBy("rejected_by").count().collect()
     assert {r.rejected_by: r["count"] for r in first} == {"often": 5, "dear": 4, None: 1}
 
 
+def test_later_rules_stand_by_what_is_left(spark):
+    df = spark.range(100).selectExpr("id")
+    rules = (quality.Rule("same", "id < 40"), quality.Rule("all", "id < 45"), quality.Rule("other", "id >= 90"))
+    assert [r.name for r in quality.order_rules(df, rules)] == ["all", "other", "same"]
+
+
+def test_sample_is_bounded_and_spread(spark):
+    df = spark.range(0, 20_000, 1, 4).selectExpr("id as doc_id", "repeat('a ', cast(id % 7 as int)) as text")
+    ids = [r.doc_id for r in quality.sample_of(df, 500).collect()]
+    assert 300 <= len(ids) <= 500 and min(ids) < 2000 and max(ids) > 18_000
+    assert quality.sample_of(df.limit(3), 500).count() == 3
+
+
 def test_sql(spark):
     agree(spark, quality.op7_quality_cascade, quality.ORACLE_SQL["op7_quality_cascade"])
