@@ -2,7 +2,7 @@
 
 Each rule is a Boolean Column over metrics.  On a sample of ``SAMPLE_ROWS`` documents at most, chosen by a hash and written once, the
 cascade measures which documents each rule rejects, and what it costs: the characters, words and lines that its metric visits there
-(``Rule.work``).  Rules then stand so that each next one has the most rejections per cost among the documents that those before it leave, and one CASE applies them, so a
+(``Rule.work``).  Rules then stand in order of rejections per cost, and one CASE applies them, so a
 document that an early rule rejects costs the later ones nothing.  The order never changes which
 documents are kept, only which rule is named first and what the decision costs.
 
@@ -102,23 +102,11 @@ def sample_of(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
 
 
 def order_rules(sample: DataFrame, rules: tuple[Rule, ...]) -> list[Rule]:
-    """Each next rule has the most rejections per cost among the rows of ``sample`` that the ones before it leave; ties keep their order."""
-    bits = [F.when(F.expr(r.rejects), F.lit(1 << i)).otherwise(0) for i, r in enumerate(rules)]
-    mask = F.lit(0).cast("long")
-    for x in bits:
-        mask = mask + x
-    got = sample.select(mask.alias("mask"), *[F.expr(r.work).cast("double").alias(f"_w{i}") for i, r in enumerate(rules)])
-    rows = got.groupBy("mask").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"_w{i}").alias(f"_w{i}") for i in range(len(rules))]).collect()
-    # A row per set of rules that rejects some sampled document.
-    cost = [sum(r[f"_w{i}"] or 0.0 for r in rows) or 1.0 for i in range(len(rules))]
-    left, out = {r["mask"]: r["n"] for r in rows}, []
-    rest = list(range(len(rules)))
-    while rest:
-        best = min(rest, key=lambda i: (-sum(n for m, n in left.items() if m >> i & 1) / cost[i], i))
-        out.append(rules[best])
-        rest.remove(best)
-        left = {m: n for m, n in left.items() if not m >> best & 1}
-    return out
+    """By rejections per cost on the sample, the highest first; ties keep their order."""
+    told = [(F.sum(F.expr(r.rejects).cast("int")).alias(f"r{i}"), F.sum(F.expr(r.work).cast("double")).alias(f"w{i}")) for i, r in enumerate(rules)]
+    row = sample.agg(*[c for pair in told for c in pair]).first()
+    worth = [(row[f"r{i}"] or 0) / (row[f"w{i}"] or 1.0) for i in range(len(rules))]
+    return [rules[i] for i in sorted(range(len(rules)), key=lambda i: -worth[i])]
 
 
 def cascade(measured: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -53,12 +53,6 @@ def test_rules_stand_by_rejections_per_cost(spark):
     assert {r.rejected_by: r["count"] for r in first} == {"often": 5, "dear": 4, None: 1}
 
 
-def test_later_rules_stand_by_what_is_left(spark):
-    df = spark.range(100).selectExpr("id")
-    rules = (quality.Rule("same", "id < 40"), quality.Rule("all", "id < 45"), quality.Rule("other", "id >= 90"))
-    assert [r.name for r in quality.order_rules(df, rules)] == ["all", "other", "same"]
-
-
 def test_sample_is_bounded_and_spread(spark):
     df = spark.range(0, 20_000, 1, 4).selectExpr("id as doc_id", "repeat('a ', cast(id % 7 as int)) as text")
     ids = [r.doc_id for r in quality.sample_of(df, 500).collect()]
