@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,9 +17,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder's URI; set from a fresh local folder only where the session has none."""
+    """The shared folder's URI.  Where the session has none, a fresh folder of this machine, which only a local master can share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if "dir" not in _own:
             _own["dir"] = "file://" + tempfile.mkdtemp(prefix="tessella-")
         found = _own["dir"]
@@ -30,6 +33,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
 
 
+def put(spark: SparkSession, data: bytes, name: str) -> str:
+    """Write ``data`` to a file in the shared folder; its URI."""
+    uri = fresh_path(spark, name)
+    fs, path = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(path) as f:
+        f.write(data)
+    return uri
+
+
+def get(uri: str) -> bytes:
+    fs, path = pafs.FileSystem.from_uri(uri)
+    with fs.open_input_stream(path) as f:
+        return f.read()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lost executor costs no upstream work."""
     spark = df.sparkSession
