@@ -144,12 +144,7 @@ def schedule(spark: SparkSession, phases: list[dict]) -> DataFrame:
 
 def added(columns: list[str]) -> dict[str, str]:
     """The names that the added columns get beside ``columns``."""
-    taken, out = {c.lower() for c in columns}, {}
-    for name in ADDED:
-        out[name] = name
-        while out[name].lower() in taken:
-            out[name] = "_" + out[name]
-    return out
+    return store.beside(ADDED, columns)
 
 
 def text_bytes() -> Column:

@@ -10,7 +10,8 @@ per node and interval, however many documents there are.
 
 ``shards`` may be left out: then it follows from ``target_bytes``, the bytes a leaf should hold.
 Sizes are UTF-8 bytes of the text (null: none) plus 8.  Null metadata sort first.  Repeated rows each
-take a slot; empty tables give no rows.  Only doc_id, text and the dimensions are read.
+take a slot; empty tables give no rows.  Only doc_id, text and the dimensions are read.  Kept columns keep their names and values; an added one
+whose name is taken gets leading underscores.
 """
 
 from __future__ import annotations
@@ -32,14 +33,18 @@ def default_dimensions() -> dict[str, Column]:
     return {"size": F.log2(F.col("size")) / 40, "source": named("source"), "lang": named("lang")}
 
 
-def _points(docs: DataFrame, dimensions: dict[str, Column], keep: list[str]) -> DataFrame:
+def _points(docs: DataFrame, dimensions: dict[str, Column], keep: list[tuple[str, str]]) -> DataFrame:
+    """``keep``: columns of ``docs`` and their names in the result; no column of ``docs`` travels under its own name but doc_id and what the dimensions read."""
+    read = ["doc_id", "text", "source", "lang"] if dimensions is None else docs.columns
+    docs = docs.select(*[F.col(c) for c in docs.columns if c in read], *[F.col(c).alias(n) for c, n in keep])
+    dimensions = dimensions or default_dimensions()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     sized = docs.withColumns({"size": F.octet_length(text).cast("long") + 8, "text_crc32": F.crc32(text.cast("binary")), "_text": F.xxhash64(text)})
     low = F.shiftleft(F.pmod("_text", F.lit(1 << TEXT_BITS)), ID_BITS) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << ID_BITS))
     top = (1 << VALUE_BITS) - 1
     value = lambda c: F.least(F.greatest(F.floor(c * top), F.lit(0)), F.lit(top)).cast("long")
     keys = {f"k{i}": F.shiftleft(value(c), TEXT_BITS + ID_BITS) + low for i, c in enumerate(dimensions.values())}
-    return sized.select("doc_id", "size", "text_crc32", *keep, *[c.alias(k) for k, c in keys.items()])
+    return sized.select("doc_id", "size", "text_crc32", *[n for _, n in keep], *[c.alias(k) for k, c in keys.items()])
 
 
 def _of(nodes: list[dict], name: str) -> Column:
@@ -92,8 +97,9 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int = 25
     """doc_id, size, text_crc32, ``keep`` (other columns of ``docs``), shard, slot.
 
     Slots follow ``order`` (a long column of ``docs``) or else a hash of the id."""
-    dimensions = dimensions or default_dimensions()
-    used = [order] if order else []
+    dims = len(dimensions or default_dimensions())
+    used = [(order, "_order")] if order else []
+    kept = {c: f"_x{i}" for i, c in enumerate(keep)}
     points = store.written(_points(docs, dimensions, used), "points")
     if shards is None:
         total = points.agg(F.sum("size")).first()[0] or 0
@@ -102,7 +108,7 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int = 25
     cuts: dict[int, dict] = {}
     made = 0
     while nodes:
-        _cuts(_place(points, cuts), nodes, len(dimensions))
+        _cuts(_place(points, cuts), nodes, dims)
         below = []
         for n in nodes:
             ids = []
@@ -115,12 +121,13 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int = 25
                     ids.append(-1)
             cuts[n["node"]] = {"dim": n["dim"], "cut": n["cut"], "l": ids[0], "r": ids[1], "sl": n["first"], "sr": n["first"] + n["left"]}
         nodes = below
-    at = F.col(order) if order else F.xxhash64("doc_id")
+    at = F.col("_order") if order else F.xxhash64("doc_id")
     placed = lambda rows: _place(rows, cuts).withColumn("_at", at)
     narrow = store.written(placed(points).select("doc_id", "size", "text_crc32", "shard", "_at"), "placed")
     # Kept columns come from the documents anew, placed by the same cuts: they are shuffled once, for their slots.
-    wide = placed(_points(docs, dimensions, [*used, *keep])).select("doc_id", "size", "text_crc32", *keep, "shard", "_at") if keep else narrow
-    return _slots(narrow, wide)
+    wide = placed(_points(docs, dimensions, used + list(kept.items()))).select("doc_id", "size", "text_crc32", *kept.values(), "shard", "_at") if keep else narrow
+    names = store.beside(("size", "text_crc32", "shard", "slot"), ["doc_id", *keep])
+    return _slots(narrow, wide).select("doc_id", *[F.col(c).alias(names[c]) for c in ("size", "text_crc32")], *[F.col(n).alias(c) for c, n in kept.items()], *[F.col(c).alias(names[c]) for c in ("shard", "slot")])
 
 
 def _place(points: DataFrame, cuts: dict[int, dict]) -> DataFrame:

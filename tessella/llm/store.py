@@ -69,6 +69,17 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def beside(names: tuple[str, ...], columns: list[str]) -> dict[str, str]:
+    """The names that added columns get beside ``columns``: their own, with leading underscores where these are taken."""
+    taken, out = {c.lower() for c in columns}, {}
+    for name in names:
+        out[name] = name
+        while out[name].lower() in taken:
+            out[name] = "_" + out[name]
+        taken.add(out[name].lower())
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Let executors delete the shuffle files of finished jobs now: Spark does so once the driver's JVM
     has collected what referred to them, which may otherwise come late.  Without a JVM at hand, a no-op."""

@@ -51,3 +51,10 @@ def test_slots_follow_an_order(spark):
     for s in range(3):
         mine = sorted((r for r in got if r.shard == s), key=lambda r: r.slot)
         assert [r.doc_id for r in mine] == sorted((r.doc_id for r in mine), reverse=True)
+
+
+def test_clashing_names_are_kept(spark):
+    df = spark.range(40).selectExpr("id as doc_id", "repeat('x', 50) as text", "'s' as source", "'l' as lang", "id as size", "7 as shard", "8 as node", "9 as _at", "id as place", "5 as k0")
+    got = shards.kd_shards(df, 3, order="place", keep=tuple(c for c in df.columns if c != "doc_id")).collect()
+    assert {(r.shard, r.node, r["_at"], r.k0, r["_size"]) for r in got} == {(7, 8, 9, 5, 58)} and {r.size for r in got} == set(range(40))
+    assert {r["_shard"] for r in got} == {0, 1, 2} and len({(r["_shard"], r.slot) for r in got}) == 40
