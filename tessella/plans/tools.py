@@ -26,8 +26,8 @@ class Tools:
         return self._text(run(lambda: profile.describe(self.df), self.spark, timeout=60))
 
     def query(self, sql: str) -> str:
-        return self._text(run_sql(self.spark, sql, TIMEOUT))
+        return self._text(run_sql(self.spark, sql, TIMEOUT, columns=set(self.df.columns)))
 
     def chart_data(self, sql: str) -> Result:
         """The rows a chart would be drawn from."""
-        return run_sql(self.spark, sql, CHART_TIMEOUT)
+        return run_sql(self.spark, sql, CHART_TIMEOUT, columns=set(self.df.columns))

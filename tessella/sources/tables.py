@@ -15,8 +15,11 @@ MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
 MESSAGES = "id string not null, session_id string not null, role string not null, content string not null, image_base64 string, timestamp timestamp not null, agent_trace string"
 COLLECTIONS = ("execution_cache", "visualization_cache", "chat_history")
 POINTS = "id string, embedding array<float>, session_id string, payload string"
+#: Points lie in so many folders by a hash of the session: a session's search reads one of them.
+SESSION_PARTS = 64
 PASSENGERS = "PassengerId long, Survived long, Pclass long, Name string, Sex string, Age double, SibSp long, Parch long, Ticket string, Fare double, Cabin string, Embarked string"
 NO_RESULT = "No result produced."
+MORE = "\n...[TRUNCATED]"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -75,19 +78,46 @@ def collection_path(folder: str, name: str) -> str:
 def init_collections(spark: SparkSession, folder: str, force: bool = False) -> None:
     for name in COLLECTIONS:
         if force or not exists(spark, collection_path(folder, name)):
-            spark.createDataFrame([], POINTS).write.mode("overwrite").parquet(collection_path(folder, name))
+            spark.createDataFrame([], POINTS + ", part int").write.mode("overwrite").parquet(collection_path(folder, name))
 
 
 def upsert_points(rows: DataFrame, folder: str, name: str) -> None:
     """Appends points (embedding, session_id, payload struct or string) with ids of their own."""
     payload = F.col("payload") if dict(rows.dtypes)["payload"] == "string" else F.to_json("payload")
-    rows.select(F.expr("uuid()").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("session_id").cast("string").alias("session_id"), payload.alias("payload")).write.mode("append").parquet(collection_path(folder, name))
+    rows.select(F.expr("uuid()").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("session_id").cast("string").alias("session_id"), payload.alias("payload"), _part(F.col("session_id")).alias("part")).write.mode("append").partitionBy("part").parquet(collection_path(folder, name))
 
 
-def read_points(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The collection; empty where it is missing."""
+def _part(session: Column) -> Column:
+    return F.pmod(F.xxhash64(session.cast("string")), F.lit(SESSION_PARTS)).cast("int")
+
+
+def read_points(spark: SparkSession, folder: str, name: str, session: str | None = None) -> DataFrame:
+    """The collection, or only the points of ``session``; empty where it is missing."""
     path = collection_path(folder, name)
-    return spark.read.schema(POINTS).parquet(path) if exists(spark, path) else spark.createDataFrame([], POINTS)
+    if not exists(spark, path):
+        return spark.createDataFrame([], POINTS)
+    rows = spark.read.schema(POINTS + ", part int").parquet(path)
+    if session is not None:
+        part = spark.range(1).select(_part(F.lit(session))).first()[0]
+        rows = rows.filter((F.col("part") == part) & (F.col("session_id") == session))
+    return rows.drop("part")
+
+
+def write_entries(entries: DataFrame, folder: str) -> None:
+    """Appends rows (collection, embedding, session_id, payload) to their collections."""
+    for name in COLLECTIONS:
+        upsert_points(entries.filter(F.col("collection") == name), folder, name)
+
+
+def probe(spark: SparkSession, checks: dict[str, Callable[[], object]]) -> DataFrame:
+    """(component, status, detail) of each check: ok, or error with what it raised."""
+    rows = []
+    for name, check in checks.items():
+        try:
+            rows.append((name, "ok", str(check() or "")))
+        except Exception as e:  # a probe reports whatever fails
+            rows.append((name, "error", f"{type(e).__name__}: {e}"))
+    return spark.createDataFrame(rows, "component string, status string, detail string")
 
 
 def embed(df: DataFrame, text: str, embedder: Callable[[list[str]], list[list[float]]], into: str = "embedding") -> DataFrame:
@@ -101,11 +131,13 @@ def embed(df: DataFrame, text: str, embedder: Callable[[list[str]], list[list[fl
 
 
 def render(df: DataFrame | None, limit: int = 1000) -> str:
-    """A bounded number of rows as text."""
+    """A bounded number of rows as text, with a mark where there are more."""
     if df is None:
         return NO_RESULT
-    rows = df.limit(limit).toPandas()
-    return rows.to_string() if len(rows) else NO_RESULT
+    rows = df.limit(limit + 1).toPandas()
+    if not len(rows):
+        return NO_RESULT
+    return rows.head(limit).to_string() + (MORE if len(rows) > limit else "")
 
 
 def sse_lines(steps: DataFrame, order: Column | str) -> DataFrame:

@@ -11,9 +11,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tessella.operators.log import LIMIT, SECONDS, reduce_trace
 
 
-def limit_stream(events: DataFrame, key: str, micros: str, tie: str, limit: int = LIMIT, seconds: int = SECONDS) -> DataFrame:
+def limit_stream(events: DataFrame, key: str, micros: str, tie: str, limit: int = LIMIT, seconds: int = SECONDS, late: str = "10 minutes") -> DataFrame:
     """(key, tie, micros, allowed) of a stream of events (bigint columns): as ``rate_limited``, by event time within
-    each micro-batch.  State per key: the live times, ``limit`` at most; it goes after ``seconds`` without events."""
+    each micro-batch.  State per key: the live times, ``limit`` at most; it goes once the watermark, ``late`` behind the newest event,
+    has passed the last of them by ``seconds``, however fast or slow the stream is read.  Events later than ``late`` are dropped."""
     import pandas as pd
 
     span = seconds * 1_000_000
@@ -31,11 +32,12 @@ def limit_stream(events: DataFrame, key: str, micros: str, tie: str, limit: int
             if allowed[-1]:
                 live.append(int(t))
         state.update((live,))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max((live[-1] + span) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({key: rows[key], tie: rows[tie], micros: rows[micros], "allowed": allowed})
 
     schema = f"{key} long, {tie} long, {micros} long, allowed boolean"
-    return events.select(key, tie, micros).groupBy(key).applyInPandasWithState(step, schema, "live array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.select(key, tie, micros, F.timestamp_micros(micros).alias("_at")).withWatermark("_at", late)
+    return timed.groupBy(key).applyInPandasWithState(step, schema, "live array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def tumbling(events: DataFrame, ts: str, width: str, *keys: str, late: str | None = None) -> DataFrame:
@@ -54,9 +56,9 @@ def sessions(events: DataFrame, ts: str, gap: str | Column, *keys: str, late: st
     return rows.groupBy(F.session_window(ts, gap), *keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def answers(steps: DataFrame, key: str = "request") -> DataFrame:
-    """Per request of a step stream (complete mode): the last answer, the first image, the tools in order."""
-    return reduce_trace(steps, key)
+def answers(steps: DataFrame, key: str = "request", cached: DataFrame | None = None) -> DataFrame:
+    """Per request of a step stream (complete mode): the last answer, the cached image or else the first one, the tools in order."""
+    return reduce_trace(steps, key, cached)
 
 
 def append_batches(stream: DataFrame, path: str, checkpoint: str):
