@@ -87,6 +87,14 @@ def schema_card(df: DataFrame, order: str, title: str = "Dataset Schema:") -> st
     return "\n".join(lines)
 
 
+def schema_rows(df: DataFrame, order: str) -> DataFrame:
+    """The card as rows: (name, type, nulls, samples)."""
+    kinds = F.create_map(*[F.lit(x) for name, kind in df.dtypes for x in (name, CARD_TYPES.get(kind, kind))])
+    firsts = sample_values(df, df.columns, order).groupBy("column").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]), ", ").alias("samples"))
+    out = null_counts(df).join(firsts, "column", "left")
+    return out.select(F.col("column").alias("name"), kinds[F.col("column")].alias("type"), F.col("n").alias("nulls"), F.coalesce("samples", F.lit("")).alias("samples"))
+
+
 def token_estimate(*texts: str) -> Column:
     """A quarter of each text's length, rounded down, summed over the columns; null counts 0."""
     return sum((F.coalesce(F.floor(F.length(F.col(t)) / 4), F.lit(0)) for t in texts), F.lit(0)).cast("long")

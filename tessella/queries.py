@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import features, guards
-from tessella.operators import log, profile
+from tessella.operators import log, profile, shaping
+from tessella.plans.gate import check_sql
 from tessella.plans.spec import Join, QuerySpec, build
 from tessella.streaming import streams
 
@@ -255,6 +256,25 @@ def request_constraints(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", guards.valid_request(F.col("conv_id").cast("string"), F.col("text"), F.col("role")).alias("valid"))
 
 
+_CANNED_SQL = f"case when {{0}} is null or regexp_replace({{0}}, '\\s', '', 'g') = '' then '{guards.NO_ANSWER.replace(chr(39), chr(39) * 2)}' when contains({{0}}, '{guards.TRACEBACK}') then '{guards.INTERNAL_ERROR.replace(chr(39), chr(39) * 2)}' else {{0}} end"
+_ANSWER_SQL = f"(select doc_id, {_CANNED_SQL.format('msg')} as msg from (select doc_id, case doc_id % 9 when 0 then ' ' when 1 then msg || chr(10) || '{guards.TRACEBACK}' else msg end as msg from {MESSAGE_SQL}))"
+
+
+def _answers(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("doc_id") % 9
+    return messages(spark, sf).withColumn("msg", F.when(n == 0, " ").when(n == 1, F.concat("msg", F.lit("\n" + guards.TRACEBACK))).otherwise(F.col("msg")))
+
+
+@query(f"select doc_id, md5({_OUT_SQL}) as digest from (select doc_id, {_IMAGES_SQL} as msg from {_ANSWER_SQL})")
+def answer_strip_first(spark, sf):
+    return _answers(spark, sf).select("doc_id", F.md5(guards.answer_text(F.col("msg"))).alias("digest"))
+
+
+@query(f"select doc_id, md5({_IMAGES_SQL}) as digest from (select doc_id, {_OUT_SQL} as msg from {_ANSWER_SQL})")
+def answer_guard_first(spark, sf):
+    return _answers(spark, sf).select("doc_id", F.md5(guards.answer_text(F.col("msg"), "guard_first")).alias("digest"))
+
+
 # ---- log, vectors, context -------------------------------------------------------------------
 
 
@@ -270,13 +290,13 @@ def session_history(spark, sf):
 
 
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Queries: the twenty vectors with the smallest ids; points: all others."""
+    """Queries: the vectors whose id is divisible by 20; points: all vectors."""
     v = table(spark, sf, "embeddings")
-    q = v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("session_id"))
-    return q, v.filter("vec_id >= 20").select(F.col("vec_id").alias("point_id"), F.col("embedding").alias("vector"), F.col("label").alias("session_id"))
+    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("session_id"))
+    return q, v.select(F.col("vec_id").alias("point_id"), F.col("embedding").alias("vector"), F.col("label").alias("session_id"))
 
 
-_PAIRS = "select q.vec_id as query_id, p.vec_id as point_id, list_cosine_similarity(q.embedding::double[], p.embedding::double[]) as s, q.label as ql, p.label as pl from embeddings q, embeddings p where q.vec_id < 20 and p.vec_id >= 20"
+_PAIRS = "select q.vec_id as query_id, p.vec_id as point_id, list_cosine_similarity(q.embedding::double[], p.embedding::double[]) as s, q.label as ql, p.label as pl from embeddings q, embeddings p where q.vec_id % 20 = 0"
 
 
 def _best_sql(t: float) -> str:
@@ -298,25 +318,59 @@ def vector_topk_filtered(spark, sf):
 @query(f"with e as ({_best_sql(0.43)}), v as ({_best_sql(0.40)}) select e.query_id, case when e.hit then 'execution' when v.hit then 'visualization' else 'none' end as kind from e join v using (query_id)")
 def cache_precedence(spark, sf):
     q, p = (x.drop("session_id") for x in _vectors(spark, sf))
-    e, v = (log.cache_lookup(q, p, t).select("query_id", F.col("hit").alias(h)) for t, h in ((0.43, "e"), (0.40, "v")))
+    best = log.nearest(q, p, 1)
+    e, v = (log.cache_hits(q, best, t).select("query_id", F.col("hit").alias(h)) for t, h in ((0.43, "e"), (0.40, "v")))
     return e.join(v, "query_id").select("query_id", log.cache_kind(F.col("e"), F.col("v")).alias("kind"))
 
 
 @query(
     f"with e as ({_best_sql(0.43)}), v as ({_best_sql(0.40)}), near as (select query_id, list(point_id order by r) as ids from (select *, row_number() over (partition by query_id order by s desc, point_id) as r from ({_PAIRS}) where ql = pl) where r <= 3 group by 1), "
     "rec as (select conv_id, list(text order by turn) as texts, sum(length(text) // 4)::bigint as t from (select *, row_number() over (partition by conv_id order by turn desc) as b from conversations) where b <= 4 group by 1), "
-    "q as (select vec_id as query_id, label as session_id from embeddings where vec_id < 20), x as (select q.query_id, q.session_id, case when e.hit then 'execution' when v.hit then 'visualization' else 'none' end as kind, coalesce(rec.t, 0) + case when not e.hit and v.hit then 50 else 0 end as tokens, coalesce(len(rec.texts), 0) as n_recent, near.ids from q left join rec on rec.conv_id = q.session_id left join near using (query_id) join e using (query_id) join v using (query_id)) "
+    "q as (select vec_id as query_id, label as session_id from embeddings where vec_id % 20 = 0), x as (select q.query_id, q.session_id, case when e.hit then 'execution' when v.hit then 'visualization' else 'none' end as kind, coalesce(rec.t, 0) + case when not e.hit and v.hit then 50 else 0 end as tokens, coalesce(len(rec.texts), 0) as n_recent, near.ids from q left join rec on rec.conv_id = q.session_id left join near using (query_id) join e using (query_id) join v using (query_id)) "
     "select query_id, session_id, kind, tokens::bigint as tokens, n_recent::int as n_recent, case when tokens > 300 and len(ids) > 1 then array_to_string(ids[1:1], ',') else coalesce(array_to_string(ids, ','), '') end as semantic from x"
 )
 def context_bundle(spark, sf):
     q, p = _vectors(spark, sf)
     recent = log.recent_messages(table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), "turn", F.col("text").alias("content")), 4, "session_id", ("turn",))
-    plain, points = q.drop("session_id"), p.drop("session_id")
-    got = log.build_context(q.select("query_id", "session_id"), recent, log.nearest(q, p, 3, on="session_id"), log.cache_lookup(plain, points, 0.43), log.cache_lookup(plain, points, 0.40))
+    plain = q.drop("session_id")
+    best = log.nearest(plain, p.drop("session_id"), 1)
+    got = log.build_context(q.select("query_id", "session_id"), recent, log.nearest(q, p, 3, on="session_id"), log.cache_hits(plain, best, 0.43), log.cache_hits(plain, best, 0.40))
     near = log.within_budget(F.col("tokens"), F.col("semantic"), 300)
     return got.select("query_id", "session_id", "kind", "tokens", F.greatest(F.size("recent"), F.lit(0)).alias("n_recent"), F.array_join(F.transform(near, lambda x: x["point_id"].cast("string")), ",").alias("semantic"))
 
 
+_SCHEMA_INFO = "Dataset Schema: " * 9
+
+
+@query(
+    "with d as (select doc_id, doc_id % 50 as session_id, text, row_number() over (partition by doc_id % 50 order by doc_id) as r from documents), "
+    "rec as (select conv_id, sum(length(text) // 4)::bigint as t from (select *, row_number() over (partition by conv_id order by turn desc) as b from conversations) where b <= 4 group by 1), "
+    f"x as (select session_id, sum(length(text) // 4)::bigint + {len(_SCHEMA_INFO) // 4} + coalesce(max(rec.t), 0) + case when session_id % 2 = 0 then 250 else 0 end as tokens, list(doc_id order by r) as ids from d left join rec on conv_id = session_id where r <= 3 group by 1) "
+    "select session_id, tokens::bigint as tokens, len(case when tokens > 3000 and len(ids) > 1 then ids[1:1] else ids end)::int as n_semantic from x"
+)
+def context_budget_full(spark, sf):
+    """The budget over schema, recent and semantic texts and the reused result."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("point_id"), (F.col("doc_id") % 50).alias("query_id"), F.col("text").alias("content"))
+    near = d.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("point_id"))).filter("rank <= 3")
+    requests = d.select("query_id", F.col("query_id").alias("session_id")).distinct()
+    recent = log.recent_messages(table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), "turn", F.col("text").alias("content")), 4, "session_id", ("turn",))
+    execution = requests.select("query_id", (F.col("query_id") % 2 == 0).alias("hit"), F.lit(1).cast("long").alias("point_id"), F.repeat(F.lit("x"), F.lit(1000)).alias("payload"))
+    visual = requests.select("query_id", F.lit(False).alias("hit"), F.lit(None).cast("long").alias("point_id"))
+    got = log.build_context(requests, recent, near, execution, visual, schema_info=_SCHEMA_INFO, count_semantic=True)
+    return got.select("session_id", "tokens", F.size("semantic").alias("n_semantic"))
+
+
+@query("select collection, count(*) as n, sum(length(payload))::bigint as chars from (select 'chat_history' as collection, '{\"session_id\":\"' || user_id || '\",\"content\":\"User: q\\nAssistant: ' || event_type || '\",\"timestamp\":\"t\"}' as payload from events where event_id % 3 <> 0 union all select case when event_type = 'click' then 'visualization_cache' else 'execution_cache' end, case when event_type = 'click' then '{\"image_base64\":\"IMG\",\"text\":\"click\",\"query\":\"q\"}' else '{\"result\":\"' || event_type || '\",\"query\":\"q\"}' end from events where event_id % 3 <> 0 and event_id % 5 > 1 and (event_type = 'click' or user_id % 4 > 0)) group by 1")
+def cache_entries(spark, sf):
+    e = table(spark, sf, "events")
+    answers = e.select(
+        F.col("user_id").cast("string").alias("session_id"), F.when(F.col("event_id") % 3 != 0, F.array(F.lit(1.0).cast("float"))).alias("embedding"), F.lit("q").alias("message"), F.col("event_type").alias("text"),
+        F.when(F.col("event_type") == "click", "IMG").alias("image_base64"), F.array_repeat(F.lit("t"), (F.col("user_id") % 4).cast("int")).alias("tools"),
+        F.when(F.col("event_id") % 5 == 0, "execution").when(F.col("event_id") % 5 == 1, "visualization").otherwise("none").alias("kind"), F.lit("t").alias("at"),
+    )
+    return log.cache_entries(answers).groupBy("collection").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("payload")).alias("chars"))
+
+
 @query("select event_id, case when event_id % 3 <> 0 and event_id % 5 > 1 and event_type = 'click' then 'visualization_cache' when event_id % 3 <> 0 and event_id % 5 > 1 and user_id % 4 > 0 then 'execution_cache' end as route from events")
 def cache_route(spark, sf):
     kind = F.when(F.col("event_id") % 5 == 0, "execution").when(F.col("event_id") % 5 == 1, "visualization").otherwise("none")
@@ -347,6 +401,35 @@ def trace_reduce(spark, sf):
     return log.reduce_trace(_steps(spark, sf)).withColumns({"tools": F.array_join("tools", ","), "longest_preview": F.col("longest_preview").cast("long")})
 
 
+@query(f"select request, seq, tool, substr(content, 1, 200) as preview from ({_STEPS}) where kind = 'tool_result'")
+def trace_previews(spark, sf):
+    return log.step_previews(_steps(spark, sf))
+
+
+@query(f"select request, case when request % 2 = 0 then 'CACHED' else arg_min(substr(content, 8), seq) filter (kind = 'tool_result' and content like 'BASE64:%') end as image from ({_STEPS}) group by 1")
+def trace_cached_image(spark, sf):
+    steps = _steps(spark, sf)
+    cached = steps.filter("request % 2 = 0").select("request", F.lit("CACHED").alias("image")).distinct()
+    return streams.answers(steps, "request", cached).select("request", "image")
+
+
+GATE_CASES = (
+    ("select p_size from part", True), ("select count(*) as n from part where p_size > 3", True), ("with x as (select p_size as a from part) select a from x", True), ("select 'reflect(x)' as t from part", True),
+    ("select p_size from part -- reflect('a')", True), ("select cast(p_size as string) || r'\\' as t from part", True),
+    ("select r'\\', reflect('java.lang.System','getProperty','user.home') as x, 'z' as y from part", False), ("select `reflect`('a','b') from part", False), ("select reflect /* */ ('a','b')", False),
+    ("select p_size from part where p_size in (select java_method('a','b'))", False), ("with x as (select reflect('a','b') as a) select a from x", False), ("select system.builtin.reflect('a','b')", False),
+    ("select transform(array(1), x -> reflect('a','b')) from part", False), ("select * from csv.`/etc/passwd`", False), ("drop table part", False), ("select p_brand from part", False), ("select no_such from part", False), ("selec 1", False), ("", False),
+)
+
+
+@query("select * from (values " + ", ".join(f"({i}, {str(ok).lower()})" for i, (_, ok) in enumerate(GATE_CASES)) + ") as t(number, is_valid)")
+def gate_verdicts(spark, sf):
+    """SQL texts over one table with two known columns, and what the gate says."""
+    table(spark, sf, "part").createOrReplaceTempView("part")
+    got = [(i, check_sql(spark, text, {"p_size", "p_partkey"}).is_valid) for i, (text, _) in enumerate(GATE_CASES)]
+    return spark.createDataFrame(got, "number int, is_valid boolean")
+
+
 @query("select event_id, event_type as type, json_extract_string(props, '$.k')::bigint as k from events where event_id % 7 <> 0 and event_id % 11 <> 0")
 def sse_parse(spark, sf):
     from tessella.sources.tables import parse_sse
@@ -377,6 +460,12 @@ def join_full(spark, sf):
     return n.join(s, F.col("n_nationkey") == F.col("s_nationkey"), "full").select(F.coalesce("n_nationkey", "s_nationkey").alias("k"), "n_name", "s_suppkey")
 
 
+@query("select n_name, s_suppkey, s_name from (select * from nation where n_nationkey < 12) right join supplier on n_nationkey = s_nationkey")
+def join_right(spark, sf):
+    t = {"nation": table(spark, sf, "nation").filter("n_nationkey < 12"), "supplier": table(spark, sf, "supplier")}
+    return build(QuerySpec("nation", joins=[Join("supplier", "n_nationkey = s_nationkey", "right")], select=["n_name", "s_suppkey", "s_name"]), t)
+
+
 @query("select p_partkey from part where p_partkey in (select l_partkey from lineitem where l_quantity > 49)")
 def join_semi(spark, sf):
     return table(spark, sf, "part").join(table(spark, sf, "lineitem").filter("l_quantity > 49"), F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey")
@@ -544,3 +633,45 @@ def resample_month(spark, sf):
 def crosstab_share(spark, sf):
     n = table(spark, sf, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy("o_orderstatus")), 6))
+
+
+@query("select o_orderkey, o_totalprice from (select * from orders order by o_totalprice desc, o_orderkey desc limit 7)")
+def tail_n(spark, sf):
+    return shaping.tail(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 7, "o_totalprice", "o_orderkey")
+
+
+@query("select true as subset, true as near, true as again")
+def sample_fraction(spark, sf):
+    """A seeded sample holds rows of the table only, about as many as asked, and the same ones again."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    one, two = (shaping.sampled(rows, 0.2, seed=7).agg(F.count(F.lit(1)).alias(n), F.sum(F.xxhash64("l_orderkey", "l_linenumber").cast("decimal(38,0)")).alias(f"{n}h")) for n in ("a", "b"))
+    other = shaping.sampled(rows, 0.2, seed=7).join(rows, ["l_orderkey", "l_linenumber"], "left_anti").agg(F.count(F.lit(1)).alias("c"))
+    total = rows.agg(F.count(F.lit(1)).alias("t"))
+    return one.crossJoin(two).crossJoin(other).crossJoin(total).select((F.col("c") == 0).alias("subset"), (F.abs(F.col("a") / F.col("t") - 0.2) < 0.1).alias("near"), F.expr("a = b and ah = bh").alias("again"))
+
+
+@query("with e as (select [quantile_cont(value, 0.25), quantile_cont(value, 0.5), quantile_cont(value, 0.75)] as q from events) select (value > q[1])::int + (value > q[2])::int + (value > q[3])::int as bin, count(*) as n from events, e group by 1")
+def qcut(spark, sf):
+    return shaping.qcut(table(spark, sf, "events"), "value", 4).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select l_returnflag, round(skewness(l_extendedprice), 5) as skew, round(kurtosis(l_extendedprice), 4) as kurt from lineitem group by 1")
+def skew_kurtosis(spark, sf):
+    c = "l_extendedprice"
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(shaping.skew(c), 5).alias("skew"), F.round(shaping.kurt(c), 4).alias("kurt"))
+
+
+@query("select event_id, round(value - avg(value) over (partition by event_type, user_id % 5), 6) as centred from events")
+def grouped_apply(spark, sf):
+    """A user's function of a whole group, in Arrow batches."""
+
+    def centred(frame):
+        return frame.assign(centred=(frame["value"] - frame["value"].mean()).round(6))[["event_id", "centred"]]
+
+    rows = table(spark, sf, "events").select("event_id", "event_type", (F.col("user_id") % 5).alias("part"), "value")
+    return shaping.apply_groups(rows, ["event_type", "part"], centred, "event_id long, centred double")
+
+
+@query("select 'n_nationkey' as \"name\", 'int32' as type, 0 as nulls, '0, 1, 2, 3, 4' as samples union all select 'label', 'object', count(*) filter (n_name is null), (select string_agg(v, ', ' order by r) from (select n_name as v, row_number() over (order by n_nationkey) as r from nation) where r <= 5) from nation")
+def schema_card(spark, sf):
+    return profile.schema_rows(table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("label")), "n_nationkey")
