@@ -14,7 +14,7 @@ from tessella.operators.log import LIMIT, SECONDS, reduce_trace
 def limit_stream(events: DataFrame, key: str, micros: str, tie: str, limit: int = LIMIT, seconds: int = SECONDS, late: str = "10 minutes") -> DataFrame:
     """(key, tie, micros, allowed) of a stream of events (bigint columns): as ``rate_limited``, by event time within
     each micro-batch.  State per key: the live times, ``limit`` at most; it goes once the watermark, ``late`` behind the newest event,
-    has passed the last of them by ``seconds``, however fast or slow the stream is read.  Events later than ``late`` are dropped."""
+    has passed the last of them by ``seconds``, however fast or slow the stream is read.  Events later than ``late``, or not after the epoch, are dropped."""
     import pandas as pd
 
     span = seconds * 1_000_000

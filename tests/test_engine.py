@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessella.functions import features, guards
-from tessella.operators import log, profile
+from tessella.operators import log, profile, shaping
 from tessella.plans.gate import check_sql
 from tessella.plans.runner import TRUNCATED, cap, kind_of, run, run_sql
 from tessella.plans.spec import Join, QuerySpec, build
@@ -222,3 +222,93 @@ def test_spec(spark):
     got = build(QuerySpec("a", joins=[Join("b", ["k"], "left")], derive={"w": "coalesce(v, 0) + 1"}, group_by=["g"], agg={"s": "sum(w)"}, order_by=["-s"]), {"a": a, "b": b}).collect()
     assert [tuple(r) for r in got] == [("p", 8)]
     assert build(QuerySpec("a", select=["k"], union=[QuerySpec("b", select=["k"])], distinct=True, window={"n": "row_number() over (order by k)"}), {"a": a, "b": b.withColumn("n", F.lit(1))}).count() == 3
+
+
+def test_gate_reads_nodes_not_text(spark):
+    spark.range(3).selectExpr("id", "id * 2 as other", "cast(id as string) as t").createOrReplaceTempView("g")
+    for bad in (
+        r"select r'\', reflect('java.lang.System','getProperty','user.home') as x, 'z' as y from g",
+        "select /* ' */ reflect('a', 'b') /* ' */ from g",
+        "select id from g where exists (select java_method('a', 'b'))",
+        "with x as (select `reflect`('a', 'b') as a) select a from x",
+        "select builtin.reflect('a', 'b')",
+        "select * from csv.`/etc/passwd`",
+        "select transform(array(id), x -> reflect('a', 'b')) from g",
+        "select id from g order by java_method('a', 'b')",
+    ):
+        assert not check_sql(spark, bad).is_valid, bad
+    for good in ("select 'it''s reflect(1)' from g", "select id from g -- reflect('a','b')", "select array(id), map(id, t), named_struct('a', id) from g"):
+        assert check_sql(spark, good).is_valid, check_sql(spark, good)
+
+
+def test_known_columns(spark):
+    spark.range(3).selectExpr("id", "id * 2 as other").createOrReplaceTempView("g")
+    known = lambda q: check_sql(spark, q, {"id"})
+    for good in ("select count(*) as n from g", "select id + 1 as x from g", "with a as (select id as z from g) select z, z * 2 as y from a where z > 0", "select n from (select id, row_number() over (order by id) as n from g)"):
+        assert known(good).is_valid, (good, known(good))
+    for bad in ("select other from g", "select id from g where other > 1", "select * from g", "select id from g order by other", "select (select max(other) from g) as m"):
+        assert known(bad).violations == ["unknown column other"], (bad, known(bad))
+    assert run_sql(spark, "select other from g", 60, columns={"id"}).error
+
+
+def test_cut_results_are_marked(spark):
+    spark.range(30).selectExpr("id", "repeat('x', 30000) as t").createOrReplaceTempView("w")
+    whole, cut = run_sql(spark, "select id from w order by id", 60, 30), run_sql(spark, "select id from w order by id desc", 60, 29)
+    assert not whole.truncated and TRUNCATED not in whole.text and len(whole.rows) == 30
+    assert cut.truncated and cut.text.endswith(TRUNCATED) and [r[0] for r in cut.rows] == list(range(29, 0, -1))
+    wide = run_sql(spark, "select id, t from w order by id", 60)
+    assert wide.truncated and wide.text.endswith(TRUNCATED) and len(wide.text) == 100_000 + len(TRUNCATED) and len(wide.rows) < 6
+    one = run_sql(spark, "select concat_ws('', collect_list(t)) as a from w", 60)
+    assert one.truncated and len(one.text) == 100_000 + len(TRUNCATED)
+    assert tables.render(spark.table("w").select("id"), 5).endswith(tables.MORE) and not tables.render(spark.table("w").select("id"), 30).endswith(tables.MORE)
+    assert run_sql(spark, "select id, id from w where id < 2 order by id", 60).kind == "dataframe"
+
+
+def test_limiter_forgets_by_event_time(spark, tmp_path):
+    """Many short batches: state outlives any pause of the reader, and goes with the watermark."""
+    rows = [(1, s * 1_000_000, i) for i, s in enumerate([1000, 1001, 1002, 1050, 1059, 1060, 1061, 5000, 5001])]
+    df = spark.createDataFrame(rows, "user long, micros long, tie long")
+    for i in range(0, len(rows), 3):
+        df.filter(f"tie >= {i} and tie < {i + 3}").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        time.sleep(1.2)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    q = streams.limit_stream(stream, "user", "micros", "tie", limit=3, seconds=60, late="1 second").writeStream.format("memory").queryName("limited2").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {x.tie: x.allowed for x in spark.table("limited2").collect()} == limiter(rows, 3, 60)
+
+
+def test_collections_by_session_entries_and_probes(spark, tmp_path):
+    folder = f"file://{tmp_path}/v"
+    tables.init_collections(spark, folder)
+    answers = spark.createDataFrame([("s", [1.0], "q", "a", "IMG", [], "none", "t"), ("u", [2.0], "q", "b", None, ["x"], "none", "t"), ("s", [3.0], "q", "c", None, [], "none", "t"), ("s", None, "q", "d", "I", [], "none", "t"), ("s", [4.0], "q", "e", "I", [], "execution", "t")], "session_id string, embedding array<float>, message string, text string, image_base64 string, tools array<string>, kind string, at string")
+    tables.write_entries(log.cache_entries(answers), folder)
+    assert [tables.read_points(spark, folder, n).count() for n in tables.COLLECTIONS] == [1, 1, 4]
+    mine = tables.read_points(spark, folder, "chat_history", "s")
+    assert mine.count() == 3 and mine.columns == ["id", "embedding", "session_id", "payload"]
+    assert "PartitionFilters: [isnotnull(part" in mine._jdf.queryExecution().toString()
+    got = tables.probe(spark, {"log": lambda: "fine", "vectors": lambda: 1 / 0})
+    assert [(r.component, r.status) for r in got.collect()] == [("log", "ok"), ("vectors", "error")]
+    assert profile.health(got.withColumn("service", F.lit("all")), "service").first().status == "degraded"
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    points = spark.createDataFrame([(i, [float(x) for x in r.normal(size=4)]) for i in range(60)], "point_id long, vector array<float>")
+    queries = points.select(F.col("point_id").alias("query_id"), F.col("vector").alias("query")).filter("point_id % 5 = 0")
+    once = sorted(map(tuple, log.nearest(queries, points, 3).select("query_id", "point_id", "rank").collect()))
+    monkeypatch.setattr(log, "QUERY_BLOCK", 3)
+    assert sorted(map(tuple, log.nearest(queries, points, 3).select("query_id", "point_id", "rank").collect())) == once and len(once) == 36
+
+
+def test_shaping(spark):
+    class Twice:
+        def eval(self, n: int):
+            for i in range(n):
+                yield (i, 2 * i)
+
+    shaping.table_function(Twice, "i int, j int", "twice")
+    assert [tuple(r) for r in spark.sql("select * from twice(3)").collect()] == [(0, 0), (1, 2), (2, 4)]
+    df = spark.range(10).selectExpr("id", "if(id = 3, null, id * 1.0) as x")
+    assert [r.id for r in shaping.tail(df, 2, "id").collect()] == [9, 8]
+    assert {r.id: r.bin for r in shaping.qcut(df, "x", 2).collect()}[3] is None
+    assert shaping.pipe(df, lambda d: d.filter("id > 5"), lambda d: d.limit(2)).count() == 2
