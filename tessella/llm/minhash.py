@@ -385,7 +385,8 @@ def _second_round(whole: DataFrame, reps: DataFrame, label: DataFrame, docs: Dat
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, set) of the documents in ``nodes``; a row for each distinct text of an id."""
-    found = docs.hint("merge").join(nodes, "doc_id", "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
+    nodes = store.written(nodes, "nodes")
+    found = store.by_id(docs, nodes, "doc_id", "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
     return store.written(found.select("doc_id", "text").mapInArrow(_sets(shingle), "doc_id long, set array<long>"), "sets")
 
 
@@ -436,13 +437,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, less those of documents that are linked with a smaller id; of rows with the same id, one stays."""
     verdict = store.written(near_duplicates(docs, shingle, percent).select(F.col("doc_id").alias("_id"), "kept"), "verdict")
-    gone = verdict.filter("not kept").select("_id").distinct()
+    gone = store.written(verdict.filter("not kept").select("_id").distinct(), "gone")
     repeated = verdict.filter("kept and _id is not null").groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_id")
-    left = docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    left = store.by_id(docs, gone, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
     if repeated.isEmpty():
         return left
-    once = left.join(repeated.hint("merge"), F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
-    first = left.join(repeated.hint("merge"), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    repeated = store.written(repeated, "repeated")
+    once = store.by_id(left, repeated, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    first = store.by_id(left, repeated, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
     names = [f"_c{i}" for i in range(len(docs.columns))]
     first = first.toDF(*names).select(F.struct(*names).alias("_row"), F.col(f"_c{docs.columns.index('doc_id')}").cast("long").alias("_id"), F.xxhash64(*names).alias("_h"))
     first = first.groupBy("_id").agg(F.min_by("_row", "_h").alias("_row")).select("_row.*")

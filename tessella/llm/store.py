@@ -11,6 +11,7 @@ import uuid
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _own: dict[str, str] = {}
@@ -69,6 +70,17 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Ids that a join may broadcast: 8 MB.
+BROADCAST_IDS = 1_000_000
+
+
+def by_id(docs: DataFrame, ids: DataFrame, key, how: str) -> DataFrame:
+    """``docs`` joined (left_semi, left_anti) with a table of ids that is stored: broadcast if their count is at most
+    ``BROADCAST_IDS``, so that no text is shuffled, else both sides are dealt by id."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids.hint("merge"), key, how)
+
+
 def beside(names: tuple[str, ...], columns: list[str]) -> dict[str, str]:
     """The names that added columns get beside ``columns``: their own, with leading underscores where these are taken."""
     taken, out = {c.lower() for c in columns}, {}
