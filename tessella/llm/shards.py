@@ -5,8 +5,10 @@ hash of the id), so equal texts are neighbours along every dimension and a cut p
 where balance asks for it.  A node that has to become k shards is cut along its widest dimension
 at the weighted quantile floor(k/2)/k of its bytes; leaves are the shards.  Quantiles are exact up
 to ``TOLERANCE`` of a shard: each round counts bytes in ``BINS`` intervals of the interval that
-still holds the cut, for all nodes of a level at once; what reaches the driver is at most a row
-per node and interval, however many documents there are.
+still holds the cut, for all nodes of a level at once.  Down to ``CELLS`` nodes a row per node and interval reaches
+the driver, and the cuts are constants in the plan; below, nodes and their cuts are a table, each level and round is a few joins and sums by node, and nothing
+reaches the driver but a count.  Nodes of a level hold about equal bytes, so these joins have no hot key.  Neither the driver nor a plan grows with
+the number of shards or documents.
 
 ``shards`` may be left out: then it follows from ``target_bytes``, the bytes a leaf should hold.
 Sizes are UTF-8 bytes of the text (null: none) plus 8.  Null metadata sort first.  Repeated rows each
@@ -17,6 +19,7 @@ whose name is taken gets leading underscores.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.llm import store
@@ -25,6 +28,8 @@ BINS, TOLERANCE = 1024, 0.0005
 #: Bits of a coordinate for value, text hash and id hash.
 VALUE_BITS, TEXT_BITS, ID_BITS = 20, 22, 20
 SLOT_BUCKETS = 64
+#: Nodes of a level that the driver cuts; rows of a table of nodes or slots that a join may broadcast.
+CELLS, BROADCAST_ROWS = 256, 200_000
 
 
 def default_dimensions() -> dict[str, Column]:
@@ -107,7 +112,7 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int = 25
     nodes = [{"node": 0, "k": shards, "left": shards // 2, "first": 0}] if shards > 1 else []
     cuts: dict[int, dict] = {}
     made = 0
-    while nodes:
+    while nodes and len(nodes) <= CELLS:
         _cuts(_place(points, cuts), nodes, dims)
         below = []
         for n in nodes:
@@ -122,12 +127,72 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int = 25
             cuts[n["node"]] = {"dim": n["dim"], "cut": n["cut"], "l": ids[0], "r": ids[1], "sl": n["first"], "sr": n["first"] + n["left"]}
         nodes = below
     at = F.col("_order") if order else F.xxhash64("doc_id")
-    placed = lambda rows: _place(rows, cuts).withColumn("_at", at)
-    narrow = store.written(placed(points).select("doc_id", "size", "text_crc32", "shard", "_at"), "placed")
-    # Kept columns come from the documents anew, placed by the same cuts: they are shuffled once, for their slots.
-    wide = placed(_points(docs, dimensions, used + list(kept.items()))).select("doc_id", "size", "text_crc32", *kept.values(), "shard", "_at") if keep else narrow
+    keys = [f"k{i}" for i in range(dims)]
+    located = _place(points, cuts)
+    if nodes:
+        located = _below(located, nodes, shards, dims)
+    narrow = store.written(located.withColumn("_at", at).select("doc_id", "size", "text_crc32", "shard", "_at", *(keys if nodes else [])), "placed")
+    wide = narrow
+    if keep:
+        # Kept columns come from the documents anew.  Down to the driver's cells they are placed by the same cuts and shuffled once, for their slots.
+        wide = _points(docs, dimensions, used + list(kept.items())).withColumn("_at", at)
+        wide = wide.join(narrow.select(*keys, "shard").distinct(), keys) if nodes else _place(wide, cuts)
+        wide = wide.select("doc_id", "size", "text_crc32", *kept.values(), "shard", "_at")
     names = store.beside(("size", "text_crc32", "shard", "slot"), ["doc_id", *keep])
-    return _slots(narrow, wide).select("doc_id", *[F.col(c).alias(names[c]) for c in ("size", "text_crc32")], *[F.col(n).alias(c) for c, n in kept.items()], *[F.col(c).alias(names[c]) for c in ("shard", "slot")])
+    return _slots(narrow, wide, shards).select("doc_id", *[F.col(c).alias(names[c]) for c in ("size", "text_crc32")], *[F.col(n).alias(c) for c, n in kept.items()], *[F.col(c).alias(names[c]) for c in ("shard", "slot")])
+
+
+def _few(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table.hint("merge")
+
+
+def _below(located: DataFrame, nodes: list[dict], shards: int, dims: int) -> DataFrame:
+    """Cuts the driver's last cells down to shards.  A node is the range of shards from ``shard``, ``_k`` of them."""
+    # The driver's cells: at most twice ``CELLS``, as constants.
+    count = F.coalesce(*[F.when(F.col("node") == n["node"], F.lit(n["k"])) for n in nodes], F.lit(1))
+    first = F.coalesce(*[F.when(F.col("node") == n["node"], F.lit(n["first"])) for n in nodes], F.col("shard"))
+    points = store.written(located.withColumns({"_k": count.cast("long"), "shard": first.cast("long")}).drop("node"), "cells")
+    most = max(n["k"] for n in nodes)
+    while most > 1:
+        cells = _table_cuts(points, shards, dims)
+        done = points.filter("_k = 1")
+        key = F.element_at(F.array(*[f"k{i}" for i in range(dims)]), F.col("_dim") + 1)
+        left = F.expr("_k div 2")
+        cut = points.filter("_k > 1").join(_few(cells.select("shard", "_dim", "_cut"), shards), "shard").withColumn("_right", key >= F.col("_cut"))
+        cut = cut.withColumn("shard", F.when(F.col("_right"), F.col("shard") + left).otherwise(F.col("shard"))).withColumn("_k", F.when(F.col("_right"), F.col("_k") - left).otherwise(left))
+        before, points = points, store.written(done.select(*points.columns).union(cut.select(*points.columns)), "cells")
+        store.discard(before, cells)
+        most -= most // 2
+    return points
+
+
+def _table_cuts(points: DataFrame, shards: int, dims: int) -> DataFrame:
+    """(shard, _dim, _cut) of every node with more than one shard: as ``_cuts``, with the nodes as a table."""
+    each = lambda name: F.array(*[f"{name}{i}" for i in range(dims)])
+    ranges = points.filter("_k > 1").groupBy("shard", "_k").agg(F.sum("size").alias("_w"), *[f(f"k{i}").alias(f"{n}{i}") for i in range(dims) for n, f in (("lo", F.min), ("hi", F.max))])
+    wide = F.transform(F.arrays_zip(each("lo").alias("a"), each("hi").alias("b")), lambda x: F.shiftright(x["b"] - x["a"], TEXT_BITS + ID_BITS))
+    ranges = ranges.withColumn("_dim", (F.array_position(wide, F.array_max(wide)) - 1).cast("int"))
+    share = F.col("_w").cast("double") / F.col("_k")
+    cells = store.written(
+        ranges.select("shard", "_dim", F.element_at(each("lo"), F.col("_dim") + 1).alias("_lo"), F.element_at(each("hi"), F.col("_dim") + 1).alias("_hi"), F.lit(0).cast("long").alias("_before"), (F.expr("_w * (_k div 2)") / F.col("_k")).alias("_goal"), (TOLERANCE * share).alias("_slack"), F.lit(None).cast("long").alias("_cut")),
+        "nodes",
+    )
+    key = F.element_at(F.array(*[f"k{i}" for i in range(dims)]), F.col("_dim") + 1)
+    width = F.expr(f"(_hi - _lo) div {BINS} + 1")
+    while not (left := cells.filter("_cut is null")).isEmpty():
+        at = points.filter("_k > 1").select("shard", "size", *[f"k{i}" for i in range(dims)]).join(_few(left.select("shard", "_dim", "_lo", "_hi"), shards), "shard")
+        at = at.withColumn("_key", key).filter("_key between _lo and _hi").withColumn("_bin", F.expr(f"(_key - _lo) div ((_hi - _lo) div {BINS} + 1)"))
+        sums = at.groupBy("shard", "_bin").agg(F.sum("size").alias("_n"))
+        sums = sums.withColumn("_sum", F.sum("_n").over(W.partitionBy("shard").orderBy("_bin"))).withColumn("_last", F.max("_bin").over(W.partitionBy("shard")))
+        chosen = sums.join(_few(left.select("shard", "_before", "_goal"), shards), "shard").filter("_before + _sum >= _goal or _bin = _last")
+        chosen = chosen.groupBy("shard").agg(F.min_by(F.struct("_bin", "_n", "_sum"), "_bin").alias("_x"))
+        got = left.join(chosen, "shard").withColumns({"_width": width, "_before": F.col("_before") + F.expr("_x._sum - _x._n")}).withColumn("_lo", F.col("_lo") + F.expr("_x._bin * _width"))
+        settled = F.expr("_x._n <= _slack or _width = 1")
+        cut = F.when(F.expr("_before + _x._n - _goal < _goal - _before"), F.col("_lo") + F.col("_width")).otherwise(F.col("_lo"))
+        got = got.withColumns({"_cut": F.when(settled, cut), "_hi": F.col("_lo") + F.col("_width") - 1})
+        before, cells = cells, store.written(cells.filter("_cut is not null").union(got.select(*cells.columns)), "nodes")
+        store.discard(before)
+    return cells
 
 
 def _place(points: DataFrame, cuts: dict[int, dict]) -> DataFrame:
@@ -142,18 +207,16 @@ def _place(points: DataFrame, cuts: dict[int, dict]) -> DataFrame:
     return points.withColumns({"node": at(0, 0, False), "shard": at(0, 0, True)})
 
 
-def _slots(rows: DataFrame, wide: DataFrame) -> DataFrame:
+def _slots(rows: DataFrame, wide: DataFrame, shards: int) -> DataFrame:
     """Gapless slots: ranks inside (shard, range of the order), after the sizes of the ranges before."""
-    from pyspark.sql import Window as W
-
     span = rows.agg(F.min("_at").cast("decimal(38,0)").alias("lo"), F.max("_at").cast("decimal(38,0)").alias("hi")).first()
     lo, width = (int(span.lo), (int(span.hi) - int(span.lo)) // SLOT_BUCKETS + 1) if span.lo is not None else (0, 1)
     part = F.coalesce(((F.col("_at").cast("decimal(38,0)") - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(-1))
     sizes = rows.withColumn("_part", part).groupBy("shard", "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("shard", "_part", (F.sum("_n").over(W.partitionBy("shard").orderBy("_part")) - F.col("_n")).alias("_before"))
     ranked = wide.withColumn("_part", part).withColumn("_rank", F.row_number().over(W.partitionBy("shard", "_part").orderBy("_at", "doc_id")))
-    # One row per shard and range: bounded by shards * SLOT_BUCKETS.
-    return ranked.join(F.broadcast(before), ["shard", "_part"]).select(*[c for c in wide.columns if c not in ("shard", "_at")], F.col("shard").cast("int").alias("shard"), (F.col("_before") + F.col("_rank") - 1).cast("int").alias("slot"))
+    # One row per shard and range.
+    return ranked.join(_few(before, shards * SLOT_BUCKETS), ["shard", "_part"]).select(*[c for c in wide.columns if c not in ("shard", "_at")], F.col("shard").cast("int").alias("shard"), (F.col("_before") + F.col("_rank") - 1).cast("int").alias("slot"))
 
 
 def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

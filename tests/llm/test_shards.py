@@ -2,6 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pyarrow.parquet as pq
+import pytest
 
 from tessella.llm import shards
 
@@ -58,3 +59,49 @@ def test_clashing_names_are_kept(spark):
     got = shards.kd_shards(df, 3, order="place", keep=tuple(c for c in df.columns if c != "doc_id")).collect()
     assert {(r.shard, r.node, r["_at"], r.k0, r["_size"]) for r in got} == {(7, 8, 9, 5, 58)} and {r.size for r in got} == set(range(40))
     assert {r["_shard"] for r in got} == {0, 1, 2} and len({(r["_shard"], r.slot) for r in got}) == 40
+
+
+def brute(points, shards, dims):
+    """The tree by sorting: (shard of each point)."""
+    out = {}
+
+    def cut(rows, k, first):
+        if k == 1 or not rows:
+            out.update({i: first for i, *_ in rows})
+            return
+        real = [(max(r[2 + d] for r in rows) - min(r[2 + d] for r in rows)) >> 42 for d in range(dims)]
+        d = max(range(dims), key=lambda i: (real[i], -i))
+        rows = sorted(rows, key=lambda r: r[2 + d])
+        left, total = k // 2, sum(r[1] for r in rows)
+        goal, before, n = total * left / k, 0, 0
+        while n < len(rows) - 1 and before + rows[n][1] < goal:
+            before += rows[n][1]
+            n += 1
+        n += before + rows[n][1] - goal < goal - before
+        cut(rows[:n], left, first)
+        cut(rows[n:], k - left, first + left)
+
+    cut(points, shards, 0)
+    return out
+
+
+@pytest.mark.parametrize("cells", [256, 3])
+def test_tree_against_sorting(spark, monkeypatch, cells):
+    """With the driver's cuts alone, and with all but the first levels as tables."""
+    monkeypatch.setattr(shards, "CELLS", cells)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("doc_id is not null").dropDuplicates(["doc_id"])
+    points = [tuple(r) for r in shards._points(docs, None, []).select("doc_id", "size", "k0", "k1", "k2").collect()]
+    got = shards.kd_shards(docs, 13, keep=("lang",)).collect()
+    langs = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    assert {r.doc_id: r.shard for r in got} == brute(points, 13, 3) and all(r.lang == langs[r.doc_id] for r in got)
+    whole(got, 13)
+
+
+def test_more_shards_than_the_driver_cuts(spark, monkeypatch):
+    monkeypatch.setattr(shards, "CELLS", 4)
+    monkeypatch.setattr(shards, "BROADCAST_ROWS", 10)
+    rows = [(i, f"text {i} " * 20, f"s{i % 3}", "en") for i in range(1500)] + [(9999, None, None, None)] * 3
+    got = shards.kd_shards(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), 40, keep=("source",)).collect()
+    size = whole(got, 40)
+    assert Counter((r.doc_id, r.source) for r in got) == Counter((r[0], r[2]) for r in rows)
+    assert len(size) == 40 and max(size.values()) - min(size.values()) <= 4 * max(r.size for r in got)
