@@ -32,9 +32,8 @@ from pyspark.sql import functions as F
 from tessella.llm import store
 
 SKIPPABLE, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-#: Words, and pieces of words, kept with their ids in a worker: two generations of so many entries
-#: each, of which the older goes when the younger is full.  Only speed depends on it.
-MEMO_ENTRIES = 250_000
+#: Words kept with their ids in a worker; a full memory is emptied.  Only speed depends on it.
+MEMO_ENTRIES = 500_000
 #: The pre-tokenizer pattern of byte-level BPE vocabularies, and their byte alphabet
 #: (printable bytes stand for themselves, the others follow from U+0100 on).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -48,24 +47,6 @@ def _alphabet() -> list[str]:
     return [chr(b) if b in PRINTABLE else chr(next(rest)) for b in range(256)]
 
 
-class Memo:
-    """Least recently used entries, about: the older generation is dropped whole."""
-
-    def __init__(self) -> None:
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def put(self, key: str, value: bytes) -> bytes:
-        if len(self.young) >= MEMO_ENTRIES:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
-        return value
-
-    def again(self, key: str) -> bytes | None:
-        got = self.old.get(key)
-        return None if got is None else self.put(key, got)
-
-
 class Encoder:
     """Whole texts to ids, by a ``tokenizers`` file of a byte-level BPE vocabulary.
 
@@ -88,30 +69,55 @@ class Encoder:
         self.find = regex.compile(PATTERN).findall
         self.table = {b: c for b, c in enumerate(_alphabet())}
         self.split = self.tokenizer.model.tokenize
-        self.words, self.pieces = Memo(), Memo()
+        #: Ids of a word with its leading space, and of a piece as the pattern finds it.
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.marks = {m: self._ids(m) for m in MARKS}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _ids(self, piece: str) -> bytes:
+        if piece[1:].isascii() and piece[1:].isalpha() and piece[0] == " ":
+            letters = "\u0120" + piece[1:]
+        else:
+            letters = piece.encode().decode("latin-1").translate(self.table)
+        t = self.split(letters)
+        return struct.pack(f"<{len(t)}I", *[x.id for x in t])
+
     def _piece(self, piece: str) -> bytes:
-        got = self.pieces.young.get(piece) or self.pieces.again(piece)
+        got = self.pieces.get(piece)
         if got is None:
-            letters = piece.encode().decode("latin-1").translate(self.table)
-            t = self.split(letters)
-            got = self.pieces.put(piece, struct.pack(f"<{len(t)}I", *[x.id for x in t]))
+            got = self._ids(piece)
+            if len(self.pieces) >= MEMO_ENTRIES:
+                self.pieces.clear()
+            self.pieces[piece] = got
         return got
 
     def _word(self, word: str, lead: str) -> bytes | None:
         """Ids of ``lead + word``; None where the word may not stand alone.  Letters alone are one
         piece, and so is a mark after them; for other words the pattern finds the pieces."""
-        body = word[:-1] if word[-1:] in MARKS else word
+        mark = self.marks.get(word[-1:])
+        body = word if mark is None else word[:-1]
         if body.isalpha() and max(body) < "\u0250":
-            ids = self._piece(lead + body)
-            return ids if body is word else ids + self._piece(word[-1])
+            if mark is None or not lead:
+                return self._ids(lead + body) + (mark or b"")
+            return self._known(body) + mark
         if not word or word >= "\u3000" or max(word) >= "\u3000" or not (word.isprintable() or all(x and x.isprintable() for x in word.split("\n"))):
             return None
         return b"".join([self._piece(p) for p in self.find(lead + word)])
 
+    def _known(self, word: str) -> bytes | None:
+        """Ids of " " + word, remembered."""
+        got = self.words.get(word)
+        if got is None:
+            got = self._word(word, " ")
+            if got is not None:
+                if len(self.words) >= MEMO_ENTRIES:
+                    self.words.clear()
+                self.words[word] = got
+        return got
+
     def encode(self, texts: list[str]) -> list[bytes]:
         return [self._text(t) for t in texts]
 
@@ -119,22 +125,17 @@ class Encoder:
         if not self.by_word or any(a in text for a in self.added):
             return self.whole(text)
         words = text.split(" ")
-        first = self._word(words[0], "")
-        if first is None:
+        out = list(map(self.words.get, words))
+        out[0] = self._word(words[0], "")
+        if out[0] is None:
             return self.whole(text)
-        get = self.words.young.get
-        out = [first, *map(get, words[1:])]
-        if None in out:
-            for i, ids in enumerate(out):
-                if ids is None:
-                    word = words[i]
-                    ids = self.words.young.get(word) or self.words.again(word)
-                    if ids is None:
-                        ids = self._word(word, " ")
-                        if ids is None:
-                            return self.whole(text)
-                        self.words.put(word, ids)
-                    out[i] = ids
+        at = 0
+        for _ in range(out.count(None)):
+            at = out.index(None, at)
+            ids = self._known(words[at])
+            if ids is None:
+                return self.whole(text)
+            out[at] = ids
         return b"".join(out)
 
 
