@@ -33,7 +33,7 @@ from tessella.llm import store
 
 SKIPPABLE, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Words kept with their ids in a worker; a full memory is emptied.  Only speed depends on it.
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 200_000
 #: The pre-tokenizer pattern of byte-level BPE vocabularies, and their byte alphabet
 #: (printable bytes stand for themselves, the others follow from U+0100 on).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
