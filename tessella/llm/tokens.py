@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tessella.llm import store
 
 SKIPPABLE, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-#: Words kept with their ids in a worker; a full memory is emptied.  Only speed depends on it.
+#: Words, and pieces of words, kept with their ids in a worker.  Only speed depends on it.
 MEMO_ENTRIES = 200_000
 #: The pre-tokenizer pattern of byte-level BPE vocabularies, and their byte alphabet
 #: (printable bytes stand for themselves, the others follow from U+0100 on).
@@ -47,6 +47,22 @@ def _alphabet() -> list[str]:
     return [chr(b) if b in PRINTABLE else chr(next(rest)) for b in range(256)]
 
 
+class Memo(dict):
+    """Ids by text.  What comes first stays, as frequent words do; after five times as many misses as entries all is forgotten."""
+
+    missed = 0
+
+    def keep(self, key: str, ids: bytes) -> bytes:
+        if len(self) >= MEMO_ENTRIES:
+            self.missed += 1
+            if self.missed < 5 * MEMO_ENTRIES:
+                return ids
+            self.clear()
+            self.missed = 0
+        self[key] = ids
+        return ids
+
+
 class Encoder:
     """Whole texts to ids, by a ``tokenizers`` file of a byte-level BPE vocabulary.
 
@@ -70,8 +86,7 @@ class Encoder:
         self.table = {b: c for b, c in enumerate(_alphabet())}
         self.split = self.tokenizer.model.tokenize
         #: Ids of a word with its leading space, and of a piece as the pattern finds it.
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Memo(), Memo()
         self.marks = {m: self._ids(m) for m in MARKS}
 
     def whole(self, text: str) -> bytes:
@@ -87,12 +102,7 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
-        if got is None:
-            got = self._ids(piece)
-            if len(self.pieces) >= MEMO_ENTRIES:
-                self.pieces.clear()
-            self.pieces[piece] = got
-        return got
+        return self.pieces.keep(piece, self._ids(piece)) if got is None else got
 
     def _word(self, word: str, lead: str) -> bytes | None:
         """Ids of ``lead + word``; None where the word may not stand alone.  Letters alone are one
@@ -113,9 +123,7 @@ class Encoder:
         if got is None:
             got = self._word(word, " ")
             if got is not None:
-                if len(self.words) >= MEMO_ENTRIES:
-                    self.words.clear()
-                self.words[word] = got
+                self.words.keep(word, got)
         return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
