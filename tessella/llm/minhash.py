@@ -454,3 +454,21 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
 def op2_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of all documents: 3-word shingles, similarity 0.85."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+ORACLE_SQL = {
+    "op2_minhash_forest": r"""
+with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+p as (select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as word, len(w) as n from d),
+k as (select doc_id, i, n, word || coalesce(' ' || lead(word) over v, '') || coalesce(' ' || lead(word, 2) over v, '') as s from p window v as (partition by doc_id order by i)),
+s as (select distinct doc_id, s from k where i <= greatest(n - 2, 1)),
+c as (select doc_id, count(*) as n from s group by doc_id),
+x as (select a.doc_id as a, b.doc_id as b, count(*) as n from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+l as (select a, b from x join c ca on ca.doc_id = a join c cb on cb.doc_id = b where 100 * x.n >= 85 * (ca.n + cb.n - x.n)),
+t as (select a, b from l union all select b, a from l),
+reach(node, other) as (select a, b from t union select reach.node, t.b from reach join t on t.a = reach.other),
+m as (select node, min(other) as least from reach group by node)
+select d.doc_id, coalesce(c.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(m.least, d.doc_id)) as component_id, d.doc_id = least(d.doc_id, coalesce(m.least, d.doc_id)) as kept
+from d left join c using (doc_id) left join m on m.node = d.doc_id
+"""
+}

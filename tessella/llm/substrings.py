@@ -228,3 +228,17 @@ def op6_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the words of repeated 35-word windows."""
     got = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return got.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE_SQL = {
+    "op6_super_kmers": r"""
+with d as (select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+p as (select r, unnest(range(1, len(w) + 1)) as i, unnest(w) as word from d),
+k as (select r, i, word, count(*) over v as n, string_agg(word, ' ') over v as s from p window v as (partition by r order by i rows between current row and 34 following)),
+h as (select r, i, word, case when n = 35 and count(*) over (partition by case when n = 35 then s end) > 1 then 1 else 0 end as hit from k),
+g as (select r, i, word, max(hit) over (partition by r order by i rows between 34 preceding and current row) as gone from h),
+e as (select r, count(*) as n, sum(gone) as removed, string_agg(word, ' ' order by i) filter (where gone = 0) as kept from g group by r)
+select doc_id, coalesce(n, 0)::bigint as n_words, coalesce(removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join e using (r)
+"""
+}

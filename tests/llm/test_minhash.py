@@ -7,6 +7,8 @@ import pytest
 from tessella.llm import minhash
 from tessella.llm.components import components
 
+from .compare import agree
+
 
 def brute(texts, k=3, percent=85):
     sets = {}
@@ -171,3 +173,8 @@ def test_recall_on_all_pairs(spark):
     assert len(linked) > 500 and set(got) == set(want)
     assert sum(got[i] == want[i] for i in linked) >= 0.99 * len(linked) and all(got[i] == i or find(got[i]) == find(i) for i in want)
     print("documents with a smaller one:", len(linked), "found:", sum(got[i] == want[i] for i in linked))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_sql(spark, sf):
+    agree(spark, minhash.op2_minhash_forest, minhash.ORACLE_SQL["op2_minhash_forest"], f"/root/testdata/{sf}")

@@ -8,6 +8,8 @@ import pytest
 
 from tessella.llm import substrings
 
+from .compare import agree
+
 
 def brute(rows, k):
     docs = [(i, [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]) for i, t in rows]
@@ -49,3 +51,8 @@ def test_documents(spark):
 
 def test_empty_table(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_sql(spark, sf):
+    agree(spark, substrings.op6_super_kmers, substrings.ORACLE_SQL["op6_super_kmers"], f"/root/testdata/{sf}")
