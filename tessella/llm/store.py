@@ -6,10 +6,14 @@ A session without that setting (tests on one machine) gets a folder of its own.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,8 +66,52 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+#: Arrow bytes that a task of :func:`landed` gathers for one row group.
+GROUP_BYTES = 32 << 20
+
+
+def _lander(path: str, made: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, writer, held, size = f"part-{uuid.uuid4().hex}.parquet", None, [], 0
+        fs, at = pafs.FileSystem.from_uri(f"{path}/_{name}")
+        for batch in made(batches) if made else batches:
+            if not batch.num_rows:
+                continue
+            writer = writer or pq.ParquetWriter(at, batch.schema, filesystem=fs, compression="zstd", compression_level=3)
+            held.append(batch)
+            size += batch.nbytes
+            if size >= GROUP_BYTES:
+                writer.write_table(pa.Table.from_batches(held))
+                held, size = [], 0
+        if writer is None:
+            return
+        if held:
+            writer.write_table(pa.Table.from_batches(held))
+        writer.close()
+        yield pa.RecordBatch.from_pydict({"file": [name]})
+
+    return run
+
+
+def landed(df: DataFrame, name: str, made: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str = "") -> DataFrame:
+    """As :func:`written`, of ``df`` or of the rows with ``schema`` that ``made`` makes of its batches, but the files are
+    written by the Python workers: on a local file system without Hadoop's native library the JVM starts three processes
+    (``chmod``) per file.  A file's name begins with an underscore, which Spark does not read, until its task counts."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    fs, at = pafs.FileSystem.from_uri(path)
+    fs.create_dir(at, recursive=True)
+    for r in df.mapInArrow(_lander(path, made), "file string").collect():
+        fs.move(f"{at}/_{r.file}", f"{at}/{r.file}")
+    gc.collect()  # the collected DataFrame lies in a cycle of Python's; until it goes, the JVM keeps its shuffle files
+    release(spark)
+    back = spark.read.schema(schema or df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`written` that nothing reads any more: what was made of them is written too."""
+    """Delete tables made by :func:`written` or :func:`landed` that nothing reads any more: what was made of them is written too."""
     for t in tables:
         spark = t.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(t.stored_at)

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,11 +77,13 @@ def _list(window: int, gram: int):
 
 
 def _pack(window: int):
-    """Rows (rid, text, spans) to (key, rid, first, n, packed); words of a string are joined by a space."""
+    """Rows (rid, text, spans) to (key, rid, first, n, packed, h); words of a string are joined by a space, ``h`` is its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["key", "rid", "first", "n", "packed"])
+            h = np.array([xxhash.xxh64_intdigest(x) for x in out[4]], np.uint64).view(np.int64)
+            columns = [pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(h)], ["key", "rid", "first", "n", "packed", "h"])
 
         out: list[list] = [[], [], [], [], []]
         held = 0
@@ -160,28 +163,28 @@ def _single(window: int):
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(rid, spans): of ``docs(rid, text)``, word ranges [lo, hi) covered by windows that start anywhere else too."""
-    kmers = store.written(docs.select("rid", "text").mapInArrow(_list(window, gram), "key long, rid long, first int, n int"), "kmers")
+    kmers = store.landed(docs.select("rid", "text"), "kmers", _list(window, gram), "key long, rid long, first int, n int")
     # Written, so that the join has a plain exchange on both sides, whose hot keys can be split.
-    again = store.written(kmers.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "again")
+    again = store.landed(kmers.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "again")
     found = kmers.join(again.hint("merge"), "key").groupBy("rid").agg(F.collect_set(F.struct("first", "n", "key")).alias("spans"))
-    found = store.written(found, "candidates")
+    found = store.landed(found, "candidates")
+    store.discard(kmers, again)
     packed = docs.select("rid", "text").join(found.hint("merge"), "rid").select("rid", "text", F.col("spans").cast(SPANS))
-    packed = packed.mapInArrow(_pack(window), "key long, rid long, first int, n int, packed binary")
-    places = store.written(packed.withColumn("h", F.xxhash64("packed")), "places")
-    store.discard(kmers, again, found)
-    strings = store.written(places.groupBy("key", "h", "n", "packed").agg(F.count(F.lit(1)).alias("c")), "strings")
-    sizes = store.written(strings.groupBy("key").agg(F.count(F.lit(1)).alias("d")).filter("d > 1"), "sizes")
+    places = store.landed(packed, "places", _pack(window), "key long, rid long, first int, n int, packed binary, h long")
+    store.discard(found)
+    strings = store.landed(places.groupBy("key", "h", "n", "packed").agg(F.count(F.lit(1)).alias("c")), "strings")
+    sizes = store.landed(strings.groupBy("key").agg(F.count(F.lit(1)).alias("d")).filter("d > 1"), "sizes")
     met = strings.select("key", "h", "packed").join(sizes.hint("merge"), "key")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cold = met.filter(f"d <= {hot}").select("key", "h", "packed").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_bucket(window), "key long, h long, lo int")
-    single = store.written(met.filter(f"d > {hot}").select("key", "h", "packed").mapInArrow(_single(window), "key long, h long, lo int, a long, b long"), "single")
+    single = store.landed(met.filter(f"d > {hot}").select("key", "h", "packed"), "single", _single(window), "key long, h long, lo int, a long, b long")
     shared = single.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a", "b")
     flagged = cold.union(single.join(shared, ["a", "b"]).select("key", "h", "lo")).withColumn("hi", F.col("lo") + 1)
     flagged = flagged.union(strings.filter("c > 1").select("key", "h", F.lit(0).alias("lo"), F.col("n").alias("hi")))
-    flagged = store.written(flagged.groupBy("key", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("windows")), "flagged")
+    flagged = store.landed(flagged.groupBy("key", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("windows")), "flagged")
     back = places.select("key", "h", "rid", "first").join(flagged.hint("merge"), ["key", "h"])
     spans = back.select("rid", F.explode(F.expr(f"transform(windows, w -> struct(first + w.lo as lo, first + w.hi + {window - 1} as hi))")).alias("s"))
-    out = store.written(spans.groupBy("rid").agg(F.collect_set("s").alias("spans")), "spans")
+    out = store.landed(spans.groupBy("rid").agg(F.collect_set("s").alias("spans")), "spans")
     store.discard(places, strings, sizes, single, flagged)
     return out
 
@@ -227,7 +230,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
 def op6_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the words of repeated 35-word windows."""
     got = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return got.select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return store.landed(got.select("doc_id", "n_words", "n_removed", "kept_sha256"), "counts")
 
 
 ORACLE_SQL = {

@@ -56,3 +56,18 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_sql(spark, sf):
     agree(spark, substrings.op6_super_kmers, substrings.ORACLE_SQL["op6_super_kmers"], f"/root/testdata/{sf}")
+
+
+def test_intermediates_start_no_process(spark):
+    """Page faults of ended children of the JVM (proc(5), cminflt) grow with every process it starts, as its own file writer does."""
+    jvm = spark._jvm.java.lang.ProcessHandle.current().pid()
+
+    def children():
+        with open(f"/proc/{jvm}/stat") as f:
+            return int(f.read().rpartition(")")[2].split()[8])
+
+    rows = spark.createDataFrame([(i, f"{'a b c d e f g ' * 3}{i}") for i in range(5)], "rid long, text string")
+    rows.mapInArrow(lambda batches: batches, rows.schema).collect()  # starts the workers' daemon
+    before = children()
+    assert substrings.repeated_spans(rows, 7, 3).count() == 5
+    assert children() == before
