@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from tessella.llm import store
 
 SKIPPABLE, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-#: Words, and pieces of words, kept with their ids in a worker.  Only speed depends on it.
-MEMO_ENTRIES = 500_000
+#: Words, and pieces of words, kept with their ids in a worker, and marks of texts that came before.  Only speed depends on them.
+MEMO_ENTRIES, MEMO_MARKS = 300_000, 1 << 22
 #: The pre-tokenizer pattern of byte-level BPE vocabularies, and their byte alphabet
 #: (printable bytes stand for themselves, the others follow from U+0100 on).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -48,11 +48,22 @@ def _alphabet() -> list[str]:
 
 
 class Memo(dict):
-    """Ids by text.  What comes first stays, as frequent words do; after five times as many misses as entries all is forgotten."""
+    """Ids by text, from a text's second coming on, as most texts come once.  What is kept first stays, as frequent words do;
+    after five times as many misses as entries all is forgotten."""
 
-    missed = 0
+    missed = marked = 0
+
+    def __init__(self):
+        self.marks = bytearray(MEMO_MARKS)
 
     def keep(self, key: str, ids: bytes) -> bytes:
+        at = hash(key) % MEMO_MARKS
+        if not self.marks[at]:
+            self.marks[at] = 1
+            self.marked += 1
+            if 2 * self.marked > MEMO_MARKS:
+                self.marks, self.marked = bytearray(MEMO_MARKS), 0
+            return ids
         if len(self) >= MEMO_ENTRIES:
             self.missed += 1
             if self.missed < 5 * MEMO_ENTRIES:
@@ -84,7 +95,10 @@ class Encoder:
         self.by_word = self.tokenizer.normalizer is None and kind.startswith("ByteLevel(") and "add_prefix_space=False" in kind and "use_regex=True" in kind
         self.find = regex.compile(PATTERN).findall
         self.table = {b: c for b, c in enumerate(_alphabet())}
+        #: Letters below U+0250 in the byte alphabet.
+        self.latin = {c: "".join(self.table[b] for b in chr(c).encode()) for c in range(0x250)}
         self.split = self.tokenizer.model.tokenize
+        self.packed = [struct.pack("<I", i) for i in range(max(self.tokenizer.get_vocab().values(), default=-1) + 1)]
         #: Ids of a word with its leading space, and of a piece as the pattern finds it.
         self.words, self.pieces = Memo(), Memo()
         self.marks = {m: self._ids(m) for m in MARKS}
@@ -93,12 +107,10 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _ids(self, piece: str) -> bytes:
-        if piece[1:].isascii() and piece[1:].isalpha() and piece[0] == " ":
-            letters = "\u0120" + piece[1:]
-        else:
-            letters = piece.encode().decode("latin-1").translate(self.table)
-        t = self.split(letters)
-        return struct.pack(f"<{len(t)}I", *[x.id for x in t])
+        return self._packed(piece.encode().decode("latin-1").translate(self.table))
+
+    def _packed(self, letters: str) -> bytes:
+        return b"".join([self.packed[x.id] for x in self.split(letters)])
 
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
@@ -109,10 +121,11 @@ class Encoder:
         piece, and so is a mark after them; for other words the pattern finds the pieces."""
         mark = self.marks.get(word[-1:])
         body = word if mark is None else word[:-1]
-        if body.isalpha() and max(body) < "\u0250":
-            if mark is None or not lead:
-                return self._ids(lead + body) + (mark or b"")
-            return self._known(body) + mark
+        if body.isalpha() and ((ascii := body.isascii()) or max(body) < "\u0250"):
+            if mark is not None and lead:
+                return self._known(body) + mark
+            letters = body if ascii else body.translate(self.latin)
+            return self._packed("\u0120" + letters if lead else letters) + (mark or b"")
         if not word or word >= "\u3000" or max(word) >= "\u3000" or not (word.isprintable() or all(x and x.isprintable() for x in word.split("\n"))):
             return None
         return b"".join([self._piece(p) for p in self.find(lead + word)])
@@ -238,8 +251,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
     parts = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sorted_rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    sorted_rows.mapInArrow(_writer(f"{folder}/ids", tokenizer, end_id), MANIFEST).write.parquet(f"{folder}/files")
-    found = spark.read.schema(MANIFEST).parquet(f"{folder}/files").collect()
+    found = sorted_rows.mapInArrow(_writer(f"{folder}/ids", tokenizer, end_id), MANIFEST).collect()
     before, listed = 0, []
     for r in sorted(found, key=lambda r: (r.first_doc is not None, r.first_doc, r.file)):
         listed.append((r.file, r.n_docs, r.n_tokens, before))
@@ -248,12 +260,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
     return spark.read.parquet(f"{folder}/manifest")
 
 
-def read_documents(manifest: DataFrame, doc_ids: list[int] | None = None) -> DataFrame:
-    """Per stored document: doc_id, start, n_tokens, ids (binary), ids_crc32; of ``doc_ids`` only
-    those frames are decompressed.  Files are dealt in order over as many tasks as there are shuffle partitions, one each if they suffice."""
-    wanted = None if doc_ids is None else set(doc_ids)
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
+STORED = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
+
+def _reader(wanted: set[int] | None = None):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -274,9 +284,25 @@ def read_documents(manifest: DataFrame, doc_ids: list[int] | None = None) -> Dat
                     yield _rows(out)
                 f.close()
 
-    files = manifest.select("file", "start")
+    return read
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What :func:`read_documents` returns but the ids, which stay in the worker."""
+    for batch in _reader()(batches):
+        yield batch.select(["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
+def _files(manifest: DataFrame) -> DataFrame:
+    """Files dealt in order over as many tasks as there are shuffle partitions, one each if they suffice."""
     parts = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return files.repartitionByRange(parts, "start", "file").mapInArrow(read, schema)
+    return manifest.select("file", "start").repartitionByRange(parts, "start", "file")
+
+
+def read_documents(manifest: DataFrame, doc_ids: list[int] | None = None) -> DataFrame:
+    """Per stored document: doc_id, start, n_tokens, ids (binary), ids_crc32; of ``doc_ids`` only
+    those frames are decompressed."""
+    return _files(manifest).mapInArrow(_reader(None if doc_ids is None else set(doc_ids)), f"{STORED}, ids binary")
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
@@ -290,4 +316,4 @@ def op1_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     manifest = write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return read_documents(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return store.landed(_files(manifest), "counts", _counts, STORED)

@@ -58,3 +58,11 @@ def test_damage_is_found_and_plain_zstd_reads(spark, tmp_path):
 def test_empty_table(spark):
     m = tokens.write_tokens(spark.createDataFrame([], "doc_id long, text string"), PATH)
     assert tokens.read_documents(m).count() == 0
+
+
+def test_only_texts_that_come_again_are_remembered():
+    e = tokens.Encoder(PATH)
+    texts = ["x w" + "".join("abcdefghij"[i // n % 10] for n in (1, 10, 100)) + " %" for i in range(1000)]
+    want = [x[:-4] for x in truth(texts)]
+    assert e.encode(texts) == want and len(e.words) < 50
+    assert e.encode(texts) == want and len(e.words) >= 1000
