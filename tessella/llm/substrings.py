@@ -219,18 +219,31 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept_text (words joined by a space) of every row."""
+REMOVED = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What :func:`remove_repeats` returns but the texts, which stay in the worker."""
+    for batch in _remove(batches):
+        yield batch.select(["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+
+def _with_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(rows, window, gram, hot)
-    return rows.join(spans.hint("merge"), "rid", "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return rows.join(spans.hint("merge"), "rid", "left").select("doc_id", "text", "spans")
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, kept_text (words joined by a space) of every row."""
+    return _with_spans(docs, window, gram, hot).mapInArrow(_remove, f"{REMOVED}, kept_text string")
 
 
 def op6_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the words of repeated 35-word windows."""
-    got = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return store.landed(got.select("doc_id", "n_words", "n_removed", "kept_sha256"), "counts")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return store.landed(_with_spans(docs), "counts", _counts, REMOVED)
 
 
 ORACLE_SQL = {
