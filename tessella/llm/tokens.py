@@ -16,6 +16,7 @@ Empty tables give no file and no row.  Other columns are ignored.
 
 from __future__ import annotations
 
+import string
 import struct
 import uuid
 import zlib
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -34,10 +36,11 @@ from tessella.llm import store
 SKIPPABLE, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Words, and pieces of words, kept with their ids in a worker, and marks of texts that came before.  Only speed depends on them.
 MEMO_ENTRIES, MEMO_MARKS = 300_000, 1 << 22
+#: UTF-8 bytes of texts, or one longer text, whose different words are looked up together, each once.  Only speed depends on them.
+PART_BYTES = 8 << 20
 #: The pre-tokenizer pattern of byte-level BPE vocabularies, and their byte alphabet
 #: (printable bytes stand for themselves, the others follow from U+0100 on).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MARKS = tuple(",.;:!?")
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 MANIFEST = "file string, n_docs long, n_tokens long, first_doc long"
 
@@ -77,9 +80,10 @@ class Memo(dict):
 class Encoder:
     """Whole texts to ids, by a ``tokenizers`` file of a byte-level BPE vocabulary.
 
-    Such a pre-tokenizer never joins a word to what precedes its one leading space, so the ids of
-    ``" word"`` can be remembered.  That holds for printable words below U+3000, single line feeds
-    inside included; a text with any other word or spacing, or with the string of an added token, is encoded whole by the library.
+    Such a pre-tokenizer never joins a word to what precedes its one leading space, nor to a single line feed
+    between two words, so the ids of ``" word"`` and ``"\\nword"`` can be remembered, and each different word of many
+    texts is looked up once.  That holds for printable words below U+3000; a text with any other word or spacing, or
+    with the string of an added token, is encoded whole by the library.
     """
 
     def __init__(self, path: str):
@@ -99,9 +103,9 @@ class Encoder:
         self.latin = {c: "".join(self.table[b] for b in chr(c).encode()) for c in range(0x250)}
         self.split = self.tokenizer.model.tokenize
         self.packed = [struct.pack("<I", i) for i in range(max(self.tokenizer.get_vocab().values(), default=-1) + 1)]
-        #: Ids of a word with its leading space, and of a piece as the pattern finds it.
+        #: Ids of a word with its leading space or line feed, and of a piece as the pattern finds it.
         self.words, self.pieces = Memo(), Memo()
-        self.marks = {m: self._ids(m) for m in MARKS}
+        self.feed = self._ids("\n")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -116,48 +120,98 @@ class Encoder:
         got = self.pieces.get(piece)
         return self.pieces.keep(piece, self._ids(piece)) if got is None else got
 
-    def _word(self, word: str, lead: str) -> bytes | None:
-        """Ids of ``lead + word``; None where the word may not stand alone.  Letters alone are one
-        piece, and so is a mark after them; for other words the pattern finds the pieces."""
-        mark = self.marks.get(word[-1:])
-        body = word if mark is None else word[:-1]
-        if body.isalpha() and ((ascii := body.isascii()) or max(body) < "\u0250"):
-            if mark is not None and lead:
-                return self._known(body) + mark
-            letters = body if ascii else body.translate(self.latin)
-            return self._packed("\u0120" + letters if lead else letters) + (mark or b"")
-        if not word or word >= "\u3000" or max(word) >= "\u3000" or not (word.isprintable() or all(x and x.isprintable() for x in word.split("\n"))):
-            return None
-        return b"".join([self._piece(p) for p in self.find(lead + word)])
-
-    def _known(self, word: str) -> bytes | None:
-        """Ids of " " + word, remembered."""
+    def _word(self, word: str) -> bytes:
+        """Ids of a word that may stand alone, after a line feed, if it begins with one, else after a space.
+        Letters alone are one piece; for other words the pattern finds the pieces."""
+        if word.isalpha() and ((ascii := word.isascii()) or max(word) < "\u0250"):
+            packed = self.packed
+            return b"".join([packed[x.id] for x in self.split("\u0120" + (word if ascii else word.translate(self.latin)))])
+        if word[:1] != "\n":
+            return b"".join([self._piece(p) for p in self.find(" " + word)])
+        word = word[1:]
+        if word.isalpha() and word.isascii():
+            return self.feed + self._packed(word)
+        return self.feed + b"".join([self._piece(p) for p in self.find(word)])
+
+    def _known(self, word: str) -> bytes:
+        """What :meth:`_word` returns, remembered."""
         got = self.words.get(word)
-        if got is None:
-            got = self._word(word, " ")
-            if got is not None:
-                self.words.keep(word, got)
-        return got
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [self._text(t) for t in texts]
-
-    def _text(self, text: str) -> bytes:
-        if not self.by_word or any(a in text for a in self.added):
-            return self.whole(text)
-        words = text.split(" ")
-        out = list(map(self.words.get, words))
-        out[0] = self._word(words[0], "")
-        if out[0] is None:
-            return self.whole(text)
-        at = 0
-        for _ in range(out.count(None)):
-            at = out.index(None, at)
-            ids = self._known(words[at])
-            if ids is None:
-                return self.whole(text)
-            out[at] = ids
-        return b"".join(out)
+        return self.words.keep(word, self._word(word)) if got is None else got
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """Ids of each text.  None may be null."""
+        texts = texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not self.by_word:
+            return [self.whole(t) for t in texts.to_pylist()]
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        coded = split.flatten().dictionary_encode()
+        starts, places = split.offsets.to_numpy(), coded.indices.to_numpy().copy()
+        bodies, marks = (x.dictionary_encode() for x in _marks_apart(coded.dictionary))
+        body_of, mark_of = bodies.indices.to_numpy(), marks.indices.to_numpy()
+        words = bodies.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.words.get, words))
+        missing = [k for k, x in enumerate(ids) if x is None]
+        whole, odd = np.zeros(len(texts), bool), np.zeros(len(words), bool)
+        odd[[k for k in missing if _odd(words[k])]] = True
+        if odd.any():
+            whole = np.logical_or.reduceat(odd[body_of][places], starts[:-1])
+        for a in self.added:
+            whole |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        # a text's first word has no space before it: it is looked up as a line's first, without the line feed
+        firsts, places_of_firsts = np.unique(places[starts[:-1]], return_inverse=True)
+        places[starts[:-1]] = len(body_of) + places_of_firsts
+        used, wanted = np.zeros(len(body_of) + len(firsts), bool), np.zeros(len(words), bool)
+        used[places[np.repeat(~whole, np.diff(starts))]] = True
+        wanted[body_of[used[: len(body_of)]]] = True
+        for k in np.array(missing, int)[wanted[missing]].tolist():
+            ids[k] = self.words.keep(words[k], self._word(words[k]))
+        for k, u in zip(body_of[firsts].tolist(), used[len(body_of) :].tolist()):
+            ids.append(self._known("\n" + words[k])[len(self.feed) :] if u else b"")
+        body_of = np.concatenate([body_of, np.arange(len(words), len(ids))])
+        mark_of = np.concatenate([mark_of, mark_of[firsts]])
+        joined = pc.binary_join_element_wise(
+            pa.array([x or b"" for x in ids], pa.large_binary()).take(pa.array(body_of)),
+            pa.array([self._piece(m) for m in marks.dictionary.to_pylist()], pa.large_binary()).take(pa.array(mark_of)),
+            pa.scalar(b"", pa.large_binary()),
+        ).take(pa.array(places))
+        ends, plain = np.frombuffer(joined.buffers()[1], "<i8")[starts].tolist(), memoryview(joined.buffers()[2] or b"")
+        return [
+            self.whole(texts[k].as_py()) if w else bytes(plain[a:b])
+            for k, (a, b, w) in enumerate(zip(ends, ends[1:], whole.tolist()))
+        ]
+
+
+def _odd(word: str) -> bool:
+    """Whether a word, a line feed before it or not, may not stand alone."""
+    if word.isascii() and word.isalpha():
+        return False
+    word = word.removeprefix("\n")
+    return not word or max(word) >= "\u3000" or not word.isprintable()
+
+
+#: Bytes of ASCII letters and digits.
+ALNUM = np.array([chr(b).isalnum() and b < 0x80 for b in range(256)])
+
+
+def _marks_apart(words: pa.StringArray) -> tuple[pa.StringArray, pa.StringArray]:
+    """Words without the ASCII marks at their end, and these.  Only after a letter or digit (ASCII, or a letter from U+00C0
+    to U+00FF) they are pieces of their own; other words stay as they are."""
+    trimmed = pc.ascii_rtrim(words, characters=string.punctuation)
+    size, body = (pc.binary_length(x).to_numpy() for x in (words, trimmed))
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    at = np.cumsum(size) - size + body - 1
+    cut = np.flatnonzero((body > 0) & (body < size))
+    last, before = data[at[cut]], data[np.maximum(at[cut] - 1, 0)]
+    fine = ALNUM[last] | ((before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7))
+    kept = size.copy()
+    kept[cut[fine]] = body[cut[fine]]
+    apart = np.repeat(np.tile([False, True], len(size)), np.column_stack([kept, size - kept]).ravel())
+    return _strings(kept, data[: len(apart)][~apart]), _strings(size - kept, data[: len(apart)][apart])
+
+
+def _strings(sizes: np.ndarray, data: np.ndarray) -> pa.StringArray:
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype("<i4")
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(ends), pa.py_buffer(data))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -175,6 +229,14 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return fs, path
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """All rows in order, cut where the bytes of texts pass a multiple of ``PART_BYTES``."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // PART_BYTES)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(cuts, cuts[1:]):
+        yield batch.slice(lo, hi - lo)
+
+
 def _writer(folder: str, tokenizer: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs = sink = None
@@ -183,9 +245,8 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         end = struct.pack("<I", end_id)
         name = f"{folder}/part-{uuid.uuid4().hex}.ids.zst"
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                texts = [t or "" for t in part.column(1).to_pylist()]
+            for part in _parts(batch):
+                texts = pc.fill_null(part.column(1), "")
                 for doc_id, plain in zip(part.column(0).to_pylist(), encode(texts), strict=True):
                     plain += end
                     if sink is None:

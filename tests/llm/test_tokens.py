@@ -1,7 +1,9 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -66,3 +68,32 @@ def test_only_texts_that_come_again_are_remembered():
     want = [x[:-4] for x in truth(texts)]
     assert e.encode(texts) == want and len(e.words) < 50
     assert e.encode(texts) == want and len(e.words) >= 1000
+
+
+def test_each_different_word_is_looked_up_once():
+    e, calls = tokens.Encoder(PATH), []
+    look = e._word
+    e._word = lambda *a: (calls.append(a), look(*a))[1]
+    texts = [f"abc{a}. xyz{b}!\nqrs{b}, tuv{a}" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"]
+    assert e.encode(texts) == [x[:-4] for x in truth(texts)]
+    assert len(calls) < 120
+
+
+def test_marks_and_line_feeds_equal_plain_encoding():
+    r = random.Random(1)
+    words = ["der", "Über", "don't", "'ll", "a1", "5€", "×", "x×", "ÿ", "ǅ", "ж", "-", "(q)", "²", "…", "日", "\t", "<|endoftext|>", ""]
+    marks = ["", ".", ",", "...", "'s,", "!?'", "|", "%%%", "é.", "÷,"]
+    texts = ["".join(r.choice(words) + r.choice(marks) + r.choice("  \n") for _ in range(r.randrange(6)))[: r.choice((-1, 99))] for _ in range(4000)]
+    e = tokens.Encoder(PATH)
+    assert [x + b"\0\0\0\0" for x in e.encode(texts)] == truth(texts)
+
+
+def test_parts_have_all_rows_in_order(monkeypatch):
+    monkeypatch.setattr(tokens, "PART_BYTES", 10)
+    texts = ["a b", None, "c" * 35, "", "d e", "f", "g h i j k l"]
+    batch = pa.record_batch({"doc_id": list(range(8)), "text": ["cut off", *texts]}).slice(1)
+    parts = list(tokens._parts(batch))
+    assert len(parts) > 2 and pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    e = tokens.Encoder(PATH)
+    assert [x + b"\0\0\0\0" for p in parts for x in e.encode(p.column(1).fill_null(""))] == truth(texts)
+    assert [p.num_rows for p in tokens._parts(batch.slice(0, 0))] == [0] and e.encode([]) == []
