@@ -53,3 +53,13 @@ def engineer(df: DataFrame, name: str = "Name", siblings: str = "SibSp", parents
 def share_pct(condition: Column) -> Column:
     """Percent of all rows where the condition holds; an unknown condition does not hold."""
     return F.avg(F.coalesce(condition, F.lit(False)).cast("int")) * 100
+
+
+def quotient(a: Column, b: Column) -> Column:
+    """a / b of doubles by IEEE rules: over 0 an infinity with both signs, or NaN of 0 / 0, where ANSI division raises."""
+    return F.when(b == 0, a * F.when(b.cast("string").startswith("-"), float("-inf")).otherwise(float("inf"))).otherwise(a / b)
+
+
+def rounded(c: Column, digits: int) -> Column:
+    """A double rounded as DuckDB does, by its multiple; F.round takes its decimal text, which differs where that ends in 5."""
+    return F.round(c * 10.0**digits) / 10.0**digits

@@ -2,6 +2,7 @@ import datetime as dt
 import time
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,9 +14,12 @@ from tessella.plans.gate import check_sql
 from tessella.plans.runner import TRUNCATED, cap, kind_of, run, run_sql
 from tessella.plans.spec import Join, QuerySpec, build
 from tessella.plans.tools import Tools
+from tessella.queries import ORACLES, QUERIES
 from tessella.sources import tables
 from tessella.streaming import streams
 
+from .compare import duck, rows
+
 CSV = 'PassengerId,Survived,Pclass,Name,Sex,Age,SibSp,Parch,Ticket,Fare,Cabin,Embarked\n1,0,3,"Braund, Mr. Owen",male,22,1,0,A/5,7.25,,S\n2,1,1,"Cum""ings, Mrs. J",female,NA,1,0,PC,71.28,C85,C\n3,1,3,"Odd, Dona. X",female,66,0,2,T,108.9,NaN,\n'
 
 
@@ -312,3 +316,13 @@ def test_shaping(spark):
     assert [r.id for r in shaping.tail(df, 2, "id").collect()] == [9, 8]
     assert {r.id: r.bin for r in shaping.qcut(df, "x", 2).collect()}[3] is None
     assert shaping.pipe(df, lambda d: d.filter("id > 5"), lambda d: d.limit(2)).count() == 2
+
+
+def test_change_over_zero(spark, tmp_path):
+    times = [(i, dt.datetime(2024, 1, 1, 0, i), 1, x) for i, x in enumerate([2.0, 0.0, 3.0, 0.0, 0.0, -0.0, 4.0, 0.0, -5.0, None, 1.0, float("nan"), 0.0, float("nan"), 6.4, 57.63])]
+    df = spark.createDataFrame(times, "event_id long, ts timestamp_ntz, user_id long, value double")
+    pq.write_table(df.toArrow(), tmp_path / "events.parquet")
+    columns, want = duck(ORACLES["lag_lead"], str(tmp_path))
+    got = QUERIES["lag_lead"](spark, f"file://{tmp_path}")
+    plain = lambda x: [tuple("nan" if v != v else v if v is None else v + 0.0 for v in r) for r in x]
+    assert rows(got.columns, plain(got.collect())) == rows(columns, plain(want))
