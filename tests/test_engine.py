@@ -326,3 +326,15 @@ def test_change_over_zero(spark, tmp_path):
     got = QUERIES["lag_lead"](spark, f"file://{tmp_path}")
     plain = lambda x: [tuple("nan" if v != v else v if v is None else v + 0.0 for v in r) for r in x]
     assert rows(got.columns, plain(got.collect())) == rows(columns, plain(want))
+
+
+def test_quantiles_in_passes(spark):
+    r = np.random.default_rng(8)
+    x = np.r_[r.normal(size=700), np.exp(r.normal(size=300) * 200), -np.exp(r.normal(size=200) * 200), [0.0, -0.0] * 50, [7.25] * 300, [np.inf, -np.inf, 5e-324]]
+    rows = [(float(v), None if i % 3 else i, None, 4) for i, v in enumerate(r.permutation(x))]
+    df = spark.createDataFrame([*rows, (float("nan"), 1, None, 4)], "x double, i long, none double, four int").repartition(5)
+    shares = (0.0, 0.1, 0.25, 0.5, 0.77, 0.9, 1.0)
+    got = profile.quantiles(df, df.columns, shares)
+    want = df.agg(*[F.percentile(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), F.array(*map(F.lit, shares))).alias(c) for c in df.columns]).first()
+    assert all(got[c] == (list(want[c]) if want[c] else [None] * 7) for c in df.columns)
+    assert "percentile" not in profile.describe(df)._jdf.queryExecution().optimizedPlan().toString()
